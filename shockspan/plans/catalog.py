@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from shockspan.plans import impact_plans  # noqa: F401
+from shockspan.plans import impact_plans, series_plans  # noqa: F401
 from shockspan.plans.registry import CHECKS, QUERIES  # noqa: F401
