@@ -83,4 +83,4 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def fixed(col: Column, digits: int) -> Column:
     """Number as text with a fixed count of decimals and no digit grouping."""
-    return F.format_string(f"%.{digits}f", F.round(col.cast("double"), digits))
+    return F.format_string(f"%.{digits}f", F.bround(col.cast("double"), digits))
