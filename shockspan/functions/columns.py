@@ -81,6 +81,12 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
+def half_even(col: Column, digits: int) -> Column:
+    """Round to a fixed count of decimals, ties to the even digit."""
+    scale = 10.0**digits
+    return F.rint(col.cast("double") * scale) / scale
+
+
 def fixed(col: Column, digits: int) -> Column:
     """Number as text with a fixed count of decimals and no digit grouping."""
-    return F.format_string(f"%.{digits}f", F.bround(col.cast("double"), digits))
+    return F.format_string(f"%.{digits}f", half_even(col, digits))

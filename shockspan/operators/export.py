@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shockspan.functions.columns import clamp, month_index, type_key
+from shockspan.functions.columns import clamp, half_even, month_index, type_key
 
 CAP = 95
 SCENARIO = ["event_type", "county_id"]
@@ -25,7 +25,7 @@ def scenario_impact(facts: DataFrame, value: str = "excess_exits", top: int = 8)
     excess = (w1 + w2 + w3) / 3
     pct = excess / base * 100
     rows = rows.filter(F.abs(pct) >= 1)
-    size = F.bround(F.abs(clamp(pct, -CAP, CAP)), 0)
+    size = half_even(F.abs(clamp(pct, -CAP, CAP)), 0)
     parts = [clamp(w / base * 100, -CAP, CAP) for w in (w1, w2, w3)]
     loss = excess > 0
     recovery = F.when(w1 <= 0, 6.0).when(parts[1] <= parts[0] * 0.1, 12.0).otherwise(18.0)
@@ -36,7 +36,7 @@ def scenario_impact(facts: DataFrame, value: str = "excess_exits", top: int = 8)
         F.when(~loss, size).alias("job_change_pct"),
         F.when(loss, recovery).alias("recovery_months"),
         F.when(~loss, peak).alias("peak_month"),
-        *[F.bround(p, 1).alias(f"window_{i}_pct") for i, p in enumerate(parts, 1)],
+        *[half_even(p, 1).alias(f"window_{i}_pct") for i, p in enumerate(parts, 1)],
         size.alias("_size"),
     )
     order = W.partitionBy(*SCENARIO).orderBy(F.desc("_size"), "sector")
@@ -86,8 +86,9 @@ def regional_series(facts: DataFrame, exits: DataFrame) -> DataFrame:
     recovery = F.when(F.col("peak") > 0, clamp(1 - F.abs(change) / (F.col("peak") / 6), 0.0, 1.0)).otherwise(1.0)
 
     def mean(c, digits):
-        # summed as decimals, so that the order of the rows does not show
-        total = F.sum(F.bround(c, digits).cast("decimal(24,2)") * F.col("copies"))
+        # without the noise of binary fractions, and summed as decimals, so that
+        # neither ties nor the order of the rows depend on the engine
+        total = F.sum(half_even(F.round(c, 9), digits).cast("decimal(24,2)") * F.col("copies"))
         return F.round(total.cast("double") / F.sum("copies"), 8)
 
     return rows.groupBy(
@@ -111,10 +112,10 @@ def rollup_predictions(scenarios: DataFrame, keys: list[str]) -> DataFrame:
     recovery = F.avg(F.when(loss.isNotNull(), F.col("recovery_months")))
     peak = F.avg(F.when(gain.isNotNull(), F.col("peak_month")))
     return scenarios.groupBy(*keys).agg(
-        F.when(lose, F.bround(F.avg(loss), 1)).alias("job_loss_pct"),
-        F.when(lose, F.coalesce(F.bround(recovery, 0), F.lit(12.0))).alias("recovery_months"),
-        F.when(~lose, F.bround(F.avg(gain), 1)).alias("job_change_pct"),
-        F.when(~lose, F.coalesce(F.bround(peak, 0), F.lit(3.0))).cast("int").alias("peak_month"),
+        F.when(lose, half_even(F.avg(loss), 1)).alias("job_loss_pct"),
+        F.when(lose, F.coalesce(half_even(recovery, 0), F.lit(12.0))).alias("recovery_months"),
+        F.when(~lose, half_even(F.avg(gain), 1)).alias("job_change_pct"),
+        F.when(~lose, F.coalesce(half_even(peak, 0), F.lit(3.0))).cast("int").alias("peak_month"),
         n_loss.alias("n_loss"),
         n_gain.alias("n_gain"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shockspan.functions.columns import month_name
+from shockspan.functions.columns import half_even, month_name
 from shockspan.operators.series import KEYS, month_means, top_months, trend_test
 
 SEASON = 12
@@ -124,13 +124,13 @@ def seasonal_mean_forecast(series: DataFrame, horizon: int = 12, keys: list[str]
     year, y = F.month("month"), F.col("n")
     fit = series.groupBy(*keys).agg(
         F.max("month").alias("last"),
-        F.transform(month_means(), lambda x: F.bround(x, 2)).alias("means"),
-        F.array(*[F.bround(F.stddev_samp(F.when(year == m, y)), 2) for m in range(1, 13)]).alias("devs"),
+        F.transform(month_means(), lambda x: half_even(x, 2)).alias("means"),
+        F.array(*[half_even(F.stddev_samp(F.when(year == m, y)), 2) for m in range(1, 13)]).alias("devs"),
     )
     trend = trend_test(series, keys, "month", F.col("n"), least=3).select(*keys, "slope", "trend")
     rows = fit.join(trend, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     at = F.add_months("last", F.col("step"))
-    moved = F.when(F.col("trend").isin("increasing", "decreasing"), F.bround("slope", 2) * F.col("step") / 12).otherwise(0.0)
+    moved = F.when(F.col("trend").isin("increasing", "decreasing"), half_even(F.col("slope"), 2) * F.col("step") / 12).otherwise(0.0)
     rows = rows.select(
         *keys, "step", at.alias("month"), "trend",
         (F.get("means", F.month(at) - 1) + moved).alias("value"),
@@ -242,7 +242,7 @@ def month_risk_profile(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Risk level of each month of the year from its mean count."""
     return (
         series.groupBy(*keys, F.month("month").alias("month"))
-        .agg(F.bround(F.avg("n"), 2).alias("avg_count"))
+        .agg(half_even(F.avg("n"), 2).alias("avg_count"))
         .select(*keys, "month", month_name(F.col("month")).alias("month_name"), "avg_count", risk_level(F.col("avg_count")).alias("risk_level"))
     )
 

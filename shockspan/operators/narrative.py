@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shockspan.functions import phrases as T
-from shockspan.functions.columns import MONTHS, fixed, type_label
+from shockspan.functions.columns import MONTHS, fixed, half_even, type_label
 from shockspan.operators.forecast import risk_level
 from shockspan.operators.series import KEYS
 
@@ -17,7 +17,7 @@ def say(pattern: str, *parts) -> Column:
 
 
 def whole(col: Column) -> Column:
-    return F.bround(col, 0).cast("int")
+    return half_even(col, 0).cast("int")
 
 
 def ordered_text(order: Column, line: Column, separator: str) -> Column:

@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from shockspan.plans import feature_plans, impact_plans, series_plans, serving_plans  # noqa: F401
-from shockspan.plans.registry import CHECKS, QUERIES  # noqa: F401
+from shockspan.plans import dashboard_plans, feature_plans, impact_plans, series_plans, serving_plans  # noqa: F401
+from shockspan.plans.registry import QUERIES, checks  # noqa: F401

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shockspan.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+BODIES: dict[str, tuple[str, tuple[str, ...]]] = {}
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -40,7 +40,12 @@ def query(name: str, sql: str | None = None, *needs: str):
     def wrap(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            CHECKS[name] = check_sql(sql, *needs)
+            BODIES[name] = (sql, needs)
         return fn
 
     return wrap
+
+
+def checks() -> dict[str, str]:
+    """The checking SQL of every query that has one, complete with its views."""
+    return {name: check_sql(body, *needs) for name, (body, needs) in BODIES.items()}

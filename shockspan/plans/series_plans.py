@@ -309,10 +309,10 @@ def _(t):
   SELECT state, event_type, step, month, trend, round(value, 6) AS predicted,
          round(coalesce(greatest(0, value - 1.96 * dev), 0), 6) AS lower, round(value + 1.96 * dev, 6) AS upper
   FROM (SELECT state, event_type, step, a.month, trend, dev,
-               mean + CASE WHEN trend <> 'stable' THEN round(slope, 2) * step / 12 ELSE 0 END AS value
+               mean + CASE WHEN trend <> 'stable' THEN round_even(slope, 2) * step / 12 ELSE 0 END AS value
         FROM (SELECT state, event_type, step::INT AS step, (max(month) + to_months(step::INT))::DATE AS month
               FROM spanned CROSS JOIN (SELECT unnest(range(1, 13)) AS step) GROUP BY state, event_type, step) a
-        JOIN (SELECT state, event_type, month(month) AS m, round(avg(n), 2) AS mean, round(stddev_samp(n), 2) AS dev
+        JOIN (SELECT state, event_type, month(month) AS m, round_even(avg(n), 2) AS mean, round_even(stddev_samp(n), 2) AS dev
               FROM spanned GROUP BY ALL) s USING (state, event_type)
         JOIN combo_trend USING (state, event_type) WHERE s.m = month(a.month))""", "spanned", "combo_trend")
 def _(t):

@@ -92,9 +92,9 @@ def _(t):
 
 
 @query("regional_series", f"""
-  SELECT county_id, state, sector, {TYPE} AS event_type, month_offset, round(sum(round_even(chg, 1)::DECIMAL(24, 2))::DOUBLE / count(*), 8) AS job_change_count,
-         round(sum(round_even(chg / (base / 6) * 100, 1)::DECIMAL(24, 2))::DOUBLE / count(*), 8) AS job_change_pct,
-         round(sum(round_even(CASE WHEN peak > 0 THEN greatest(0, least(1, 1 - abs(chg) / (peak / 6))) ELSE 1 END, 2)::DECIMAL(24, 2))::DOUBLE / count(*), 8) AS recovery_rate
+  SELECT county_id, state, sector, {TYPE} AS event_type, month_offset, round(sum(round_even(round(chg, 9), 1)::DECIMAL(24, 2))::DOUBLE / count(*), 8) AS job_change_count,
+         round(sum(round_even(round(chg / (base / 6) * 100, 9), 1)::DECIMAL(24, 2))::DOUBLE / count(*), 8) AS job_change_pct,
+         round(sum(round_even(round(CASE WHEN peak > 0 THEN greatest(0, least(1, 1 - abs(chg) / (peak / 6))) ELSE 1 END, 9), 2)::DECIMAL(24, 2))::DOUBLE / count(*), 8) AS recovery_rate
   FROM (SELECT f.*, base, peak, coalesce(x.n, 0) - base / 6 AS chg
         FROM (SELECT event_type, county_id, state, sector, ((window_num - 1) * 6 + k)::INT AS month_offset,
                      (date_trunc('month', begin_on) + to_months(((window_num - 1) * 6 + k)::INT))::DATE AS month

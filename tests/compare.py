@@ -87,15 +87,16 @@ def main(folder, names):
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0
+    checks = e.oracle_sql()
     for n in names or e.queries():
         t0 = time.time()
         try:
             df = e.queries()[n](spark, folder)
-            if n in e.oracle_sql():
-                got = difference(df, con, e.oracle_sql()[n])
+            if n in checks:
+                got = difference(df, con, checks[n])
             else:
                 got = None
-            rows = None if n in e.oracle_sql() else len(df.collect())
+            rows = None if n in checks else len(df.collect())
             note = "" if rows is None else f" (rows only: {rows})"
         except Exception as x:  # noqa: BLE001
             got, note = f"{type(x).__name__}: {str(x)[:1500]}", ""
