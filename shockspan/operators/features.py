@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shockspan.functions.columns import shift
-from shockspan.operators.impact import dedup_shocks, exits_by_month_offset
+from shockspan.operators.impact import dedup_shocks, with_months
 from shockspan.operators.ranges import range_sums
 
 EVENT = ["event_id", "county_id"]
@@ -58,22 +58,30 @@ def temporal_features(df: DataFrame, time: str = "begin_on") -> DataFrame:
     return df.select("*", *temporal_columns(F.col(time)))
 
 
-def median(df: DataFrame, column: str) -> Column:
-    """Exact median as a scalar subquery.
+def median(df: DataFrame, column: str, weight: str | None = None) -> Column:
+    """Exact median as a scalar subquery, optionally of weighted rows.
 
     Values are counted first; what meets in one place is one entry per distinct
     value (days or half counts), not the rows.
     """
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(n.alias("_n"))
     return counted.select(F.percentile(F.col(column), F.lit(0.5), F.col("_n"))).scalar()
 
 
+def durations(facts: DataFrame, shocks: DataFrame) -> DataFrame:
+    """Days from begin to end per shock of the facts; open ends get the median of
+    the fact rows, negatives 0."""
+    ends = dedup_shocks(shocks.select(*EVENT, "begin_on", "end_on"))
+    ends = ends.select(*EVENT, "end_on", F.datediff("end_on", "begin_on").alias("_days"))
+    rows = facts.groupBy(*EVENT).agg(F.count(F.lit(1)).alias("_rows")).join(ends, EVENT, "left")
+    days = F.coalesce(F.col("_days").cast("double"), median(rows, "_days", "_rows"))
+    out = rows.withColumn("duration_days", F.greatest(F.lit(0.0), days))
+    return out.select(*EVENT, "end_on", "duration_days", F.log1p("duration_days").alias("log_duration"))
+
+
 def duration_days(facts: DataFrame, shocks: DataFrame) -> DataFrame:
-    """Days from begin to end per fact row; open ends get the median, negatives 0."""
-    ends = dedup_shocks(shocks.select(*EVENT, "begin_on", "end_on")).drop("begin_on")
-    rows = facts.join(ends, EVENT, "left").withColumn("_days", F.datediff("end_on", "begin_on"))
-    days = F.greatest(F.lit(0.0), F.coalesce(F.col("_days").cast("double"), median(rows, "_days")))
-    return rows.withColumn("duration_days", days).withColumn("log_duration", F.log1p("duration_days")).drop("_days")
+    return facts.join(durations(facts, shocks), EVENT)
 
 
 def prior_shocks(shocks: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -245,7 +253,7 @@ def feature_matrix(impact: DataFrame, shocks: DataFrame, exits: DataFrame, mappi
 
     ``impact`` should be a stored stage, since it is read for the facts, the group
     statistics and the medians. Features are gathered per shock, per place and per
-    dimension first, so the facts meet two large joins and otherwise small tables.
+    dimension first, so the facts are shuffled for their shock and their months only.
     ``exits`` carry an industry; sectors come from ``mapping``.
     """
     facts = map_lookup(impact, mapping, "industry", "sector", "Other")
@@ -253,8 +261,8 @@ def feature_matrix(impact: DataFrame, shocks: DataFrame, exits: DataFrame, mappi
 
     per_shock = prior_shocks(shocks, history).join(decayed_exposure(shocks).drop("begin_on"), EVENT)
     per_shock = per_shock.select(*EVENT, "prior_shocks", "recently_hit", "exposure_weighted", *temporal_columns(F.col("begin_on")))
+    per_shock = durations(impact, shocks).join(per_shock, EVENT)
     per_place = concentration_features(sectored).join(sector_growth(sectored), ["county_id", "sector"])
-    per_month = peak_features(exits_by_month_offset(impact, exits).drop("begin_on"))
 
     per_industry = facts.groupBy("industry").agg(
         F.avg("excess_exits").alias("industry_vulnerability"), F.count(F.lit(1)).alias("industry_frequency")
@@ -268,8 +276,8 @@ def feature_matrix(impact: DataFrame, shocks: DataFrame, exits: DataFrame, mappi
         F.count(F.lit(1)).alias("state_shock_frequency")
     ).join(category_code(facts, "state", "state_code"), "state")
 
-    rows = duration_days(facts, shocks).join(per_shock, EVENT).join(per_month, [*EVENT, "industry"], "left")
-    rows = rows.join(per_industry, "industry").join(per_sector, "sector").join(per_type, ["event_type", "sector"])
+    rows = with_months(facts.join(per_shock, EVENT), exits)
+    rows = rows.select("*", *peak_columns()).join(per_industry, "industry").join(per_sector, "sector").join(per_type, ["event_type", "sector"])
     rows = rows.join(per_state, "state").join(per_place, ["county_id", "sector"], "left")
     rows = rows.select("*", *scale_columns(median(impact, "baseline_exits")))
     return rows.select("*", *interaction_columns())

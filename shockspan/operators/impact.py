@@ -140,33 +140,36 @@ def to_sector_level(impact: DataFrame) -> DataFrame:
     return with_excess(impact.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts]))
 
 
-def exits_by_month_offset(impact: DataFrame, exits: DataFrame, months: int = 6) -> DataFrame:
-    """Exits of a shock's industry by calendar month after the shock.
+def months_ahead(exits: DataFrame, group: str = "industry", months: int = 6) -> DataFrame:
+    """Per place, group and start month: the exits of that and the next months.
 
-    Exits are first reduced to monthly counts per place and industry, so the join
-    is an equality on (place, industry, month) against a unique right side.
+    Built from monthly counts alone, each added to the start months it lies ahead
+    of; its size is bounded by places, groups and calendar months.
     """
-    keys = ["event_id", "county_id", "begin_on", "industry"]
-    monthly = (
+    counts = (
         exits.filter(F.col("ended_on").isNotNull())
-        .groupBy("county_id", "industry", month_index(F.col("ended_on")).alias("month"))
-        .agg(F.count(F.lit(1)).alias("exits"))
-    )
-    asked = (
-        impact.select(*keys)
-        .distinct()
-        .withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(months - 1))))
-        .withColumn("month", month_index(F.col("begin_on")) + F.col("offset"))
+        .groupBy("county_id", group, month_index(F.col("ended_on")).alias("_month"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    hits = asked.join(monthly, ["county_id", "industry", "month"], "left")
-    return hits.groupBy(*keys).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("offset") == m, F.col("exits"))), F.lit(0)).alias(f"exits_month_{m + 1}")
-            for m in range(months)
-        ]
+    shifted = counts.withColumn("_offset", F.explode(F.sequence(F.lit(0), F.lit(months - 1))))
+    return shifted.groupBy("county_id", group, (F.col("_month") - F.col("_offset")).alias("start_month")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_offset") == m, F.col("_n"))), F.lit(0)).alias(f"exits_month_{m + 1}") for m in range(months)]
     )
 
 
+def exits_by_month_offset(impact: DataFrame, exits: DataFrame, months: int = 6) -> DataFrame:
+    """Exits of a shock's industry by calendar month after the shock."""
+    keys = ["event_id", "county_id", "begin_on", "industry"]
+    return with_months(impact.select(*keys).distinct(), exits, months)
+
+
+def with_months(rows: DataFrame, exits: DataFrame, months: int = 6) -> DataFrame:
+    """Add the monthly exit counts to rows of place, industry and begin."""
+    ahead = months_ahead(exits, "industry", months)
+    joined = rows.withColumn("start_month", month_index(F.col("begin_on"))).join(ahead, ["county_id", "industry", "start_month"], "left")
+    return joined.drop("start_month").fillna(0, [f"exits_month_{m + 1}" for m in range(months)])
+
+
 def excess_by(impact: DataFrame, *dims: str) -> DataFrame:
     """Mean excess and row count per value of the given columns."""
     return impact.groupBy(*dims).agg(

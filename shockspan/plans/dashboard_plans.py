@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from shockspan.functions import phrases as T
@@ -264,56 +266,51 @@ view("ranked", """
 
 def q(pattern):
     return quoted(pattern)
-
-
-@query("ranking_text_sectors", f"""
+view("text_sectors", f"""
   SELECT {q(T.RANKING_TITLE % '')} || chr(10) || chr(10) || {q(T.RANKING_LOSS_HEADING)} || chr(10)
          || (SELECT string_agg(printf({q(T.RANKING_LOSS)}, i, sector, {num('pct', 0)}, {num('months', 0)} || ' months'), chr(10) ORDER BY i) FROM ranked WHERE kind = 'loss')
          || chr(10) || chr(10) || {q(T.RANKING_SURGE_HEADING)} || chr(10)
          || (SELECT string_agg(printf({q(T.RANKING_SURGE)}, i, sector, {num('pct', 0)}, 'month ' || {num('months', 0)}), chr(10) ORDER BY i) FROM ranked WHERE kind = 'surge')
          AS text""", "ranked")
-def _(t):
-    return N.sector_ranking_text(V.sector_ranking(scenarios(t)))
-
-
-@query("ranking_text_risk", f"""
+view("text_risk", f"""
   SELECT {q(T.RISK_TITLE % 10)} || chr(10) || {q(T.RISK_SUBTITLE)} || chr(10) || chr(10)
          || string_agg(printf({q(T.RISK_LINE)}, i, state, sector, {label('event_type')}) || chr(10)
             || printf({q(T.RISK_DETAIL)}, avg_loss_pct::VARCHAR, avg_recovery::VARCHAR, freq_per_month::VARCHAR, risk_score::VARCHAR), chr(10) ORDER BY i) AS text
   FROM (SELECT *, row_number() OVER (ORDER BY risk_score DESC, state, sector, event_type) AS i FROM risks)""", "risks")
-def _(t):
-    return N.top_risk_text(V.top_risk(scenarios(t), outlook(t)))
-
-
-@query("ranking_text_portfolio", f"""
+view("text_portfolio", f"""
   SELECT printf({q(T.PORTFOLIO_TITLE)}, {label("'3-medium'")}, (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'))
          || chr(10) || chr(10)
          || string_agg(printf({q(T.PORTFOLIO_LINE)}, sector, avg_loss::VARCHAR, worst_loss::VARCHAR, avg_recovery::VARCHAR, states_covered, 5), chr(10)
                        ORDER BY avg_loss DESC, sector) AS text FROM holdings""", "holdings")
-def _(t):
-    return N.portfolio_text(V.portfolio(scenarios(t), asia(t), "3-medium"), asia(t), "3-medium")
-
-
-@query("ranking_text_variance", f"""
+view("text_variance", f"""
   SELECT {q(T.VARIANCE_TITLE)} || chr(10) || chr(10)
          || string_agg(printf({q(T.VARIANCE_LINE)}, i, sector, avg_recovery::VARCHAR, range_months::VARCHAR, band, n_data_points), chr(10) ORDER BY i) AS text
   FROM (SELECT *, row_number() OVER (ORDER BY range_months DESC, sector) AS i FROM spreads)""", "spreads")
-def _(t):
-    return N.variance_text(V.recovery_variance(scenarios(t)))
-
-
-@query("ranking_text_surge", f"""
+view("text_surge", f"""
   SELECT {q(T.SURGE_TITLE % '')} || chr(10) || chr(10)
          || string_agg(printf({q(T.SURGE_LINE)}, sector, avg_surge::VARCHAR, ' (' || {label('event_type')} || ')', {num('avg_peak', 0)}, n_states), chr(10) ORDER BY i) AS text
   FROM (SELECT *, row_number() OVER (ORDER BY avg_surge DESC, sector, event_type) AS i FROM surges)""", "surges")
-def _(t):
-    return N.surge_text(V.demand_surge(scenarios(t)))
-
-
-@query("ranking_text_preposition", f"""
+view("text_preposition", f"""
   SELECT {q(T.PREPOSITION_TITLE % 10)} || chr(10) || {q(T.PREPOSITION_SUBTITLE)} || chr(10) || chr(10)
          || string_agg(printf({q(T.PREPOSITION_LINE)}, i, state, {label('event_type')}, ', peak: ' || peaks) || chr(10)
             || printf({q(T.PREPOSITION_DETAIL)}, freq::VARCHAR, avg_loss::VARCHAR, priority_score::VARCHAR), chr(10) ORDER BY i) AS text
   FROM (SELECT *, row_number() OVER (ORDER BY priority_score DESC, state, event_type) AS i FROM positions)""", "positions")
+
+
+RANKINGS = ["sectors", "risk", "portfolio", "variance", "surge", "preposition"]
+
+
+@query("ranking_text", " UNION ALL ".join(f"SELECT '{k}' AS kind, text FROM (SELECT * FROM text_{k})" for k in RANKINGS),
+       *[f"text_{k}" for k in RANKINGS])
 def _(t):
-    return N.preposition_text(V.preposition(scenarios(t), outlook(t)))
+    rows, ahead = scenarios(t), outlook(t)
+    texts = [
+        N.sector_ranking_text(V.sector_ranking(rows)),
+        N.top_risk_text(V.top_risk(rows, ahead)),
+        N.portfolio_text(V.portfolio(rows, asia(t), "3-medium"), asia(t), "3-medium"),
+        N.variance_text(V.recovery_variance(rows)),
+        N.surge_text(V.demand_surge(rows)),
+        N.preposition_text(V.preposition(rows, ahead)),
+    ]
+    parts = [df.select(F.lit(k).alias("kind"), "text") for k, df in zip(RANKINGS, texts)]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from shockspan.operators import features as X
@@ -281,15 +279,19 @@ def _(t):
     return t.shocks.select("event_type", "county_id", "begin_on").dropDuplicates()
 
 
-@query("key_set_operations", """
-  SELECT 'either' AS kind, count(*) AS n FROM (SELECT county_id FROM majors UNION SELECT county_id FROM exits)
-  UNION ALL SELECT 'both', count(*) FROM (SELECT county_id FROM majors INTERSECT SELECT county_id FROM exits)
-  UNION ALL SELECT 'exits only', count(*) FROM (SELECT county_id FROM exits EXCEPT SELECT county_id FROM majors)""", "majors", "exits")
+@query("key_union", "SELECT county_id FROM majors UNION SELECT county_id FROM exits", "majors", "exits")
+def _(t):
+    return t.majors.select("county_id").union(t.exits.select("county_id")).distinct()
+
+
+@query("key_intersect", "SELECT county_id FROM majors INTERSECT SELECT county_id FROM exits", "majors", "exits")
+def _(t):
+    return t.majors.select("county_id").intersect(t.exits.select("county_id"))
+
+
+@query("key_except", "SELECT county_id FROM exits EXCEPT SELECT county_id FROM majors", "majors", "exits")
 def _(t):
-    a, b = t.majors.select("county_id"), t.exits.select("county_id").distinct()
-    sets = {"either": a.union(b).distinct(), "both": a.intersect(b), "exits only": b.join(a, "county_id", "left_anti")}
-    parts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, d in sets.items()]
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    return t.exits.select("county_id").subtract(t.majors.select("county_id"))
 
 
 def matrix(t):

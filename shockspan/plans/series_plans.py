@@ -115,7 +115,7 @@ def chosen(t):
 
 
 def filled(t):
-    return S.calendar_fill(monthly(t), *CALENDAR)
+    return t.stage("filled", lambda: S.calendar_fill(monthly(t), *CALENDAR))
 
 
 def spanned(t):

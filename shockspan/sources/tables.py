@@ -7,6 +7,7 @@ ended on the ship date once the line is finished).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shockspan.functions.columns import first_match, type_key
 from shockspan.operators.impact import county_key, major_only
+from shockspan.session import stored
 
 # Segment codes in alphabetical order; 000 plays the statewide row.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -27,10 +29,17 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._stages: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a query reads more than once: computed and written once."""
+        if name not in self._stages:
+            self._stages[name] = stored(build(), name)
+        return self._stages[name]
+
     @cached_property
     def places(self) -> DataFrame:
         """Customer -> place columns."""
