@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shockspan.functions.columns import shift
-from shockspan.operators.impact import dedup_shocks, with_months
+from shockspan.operators.impact import dedup_shocks, months_ahead, with_months
 from shockspan.operators.ranges import range_sums
+from shockspan.session import stored
 
 EVENT = ["event_id", "county_id"]
 LOOKBACK_YEARS = 2
@@ -147,29 +148,35 @@ def scale_features(facts: DataFrame) -> DataFrame:
 
 
 def with_group_stats(facts: DataFrame, key: str | list[str], stats: dict[str, Column]) -> DataFrame:
-    """Join grouped aggregates back; the groups combine map-side, no row-sized window."""
+    """Join grouped aggregates back to the rows.
+
+    Grouping combines map-side, and the stored groups have a known size: as long as
+    that is below the broadcast threshold, the rows stay where they are instead of
+    meeting in one task per value.
+    """
     keys = [key] if isinstance(key, str) else key
-    return facts.join(facts.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
+    groups = stored(facts.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), "groups")
+    return facts.join(groups, keys)
 
 
 def target_mean(facts: DataFrame, column: str, out: str, target: str = "excess_exits", fold: str | None = None) -> DataFrame:
     """Mean target per value; with ``fold``, without the rows of the row's own fold."""
     if fold is None:
         return with_group_stats(facts, column, {out: F.avg(target)})
-    per_fold = facts.groupBy(column, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_c"))
+    per_fold = stored(facts.groupBy(column, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_c")), "folds")
     whole = per_fold.groupBy(column).agg(F.sum("_s").alias("_ws"), F.sum("_c").alias("_wc"))
     others = per_fold.join(whole, column).select(
         column, fold,
         F.when(F.col("_wc") > F.col("_c"), (F.col("_ws") - F.col("_s")) / (F.col("_wc") - F.col("_c"))).alias(out),
     )
-    return facts.join(others, [column, fold])
+    return facts.join(stored(others, "folds"), [column, fold])
 
 
 def frequency_encode(facts: DataFrame) -> DataFrame:
     """Rows per industry and distinct events per state."""
     rows = with_group_stats(facts, "industry", {"industry_frequency": F.count(F.lit(1))})
     events = facts.select("state", "event_id").distinct().groupBy("state").agg(F.count(F.lit(1)).alias("state_shock_frequency"))
-    return rows.join(events, "state")
+    return rows.join(stored(events, "events"), "state")
 
 
 def peak_columns(prefix: str = "exits_month_", months: int = 6) -> list[Column]:
@@ -226,7 +233,7 @@ def type_sector_displacement(facts: DataFrame) -> DataFrame:
     """Mean excess per event type and sector, rows per sector, and the type's code."""
     rows = with_group_stats(facts, ["event_type", "sector"], {"type_sector_avg_displacement": F.avg("excess_exits")})
     rows = with_group_stats(rows, "sector", {"sector_frequency": F.count(F.lit(1))})
-    return rows.join(category_code(facts, "event_type", "type_code"), "event_type")
+    return rows.join(stored(category_code(facts, "event_type", "type_code"), "codes"), "event_type")
 
 
 def feature_profile(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -248,12 +255,38 @@ def feature_profile(df: DataFrame, features: list[str], target: str) -> DataFram
     return stats.select(F.inline(F.array(*[f"_{i}" for i in range(len(features) + 1)])))
 
 
+def fact_dimensions(facts: DataFrame) -> DataFrame:
+    """Group statistics and codes per (industry, sector, event type, state).
+
+    The facts are read once into sums per combination; the statistics of the single
+    columns are built from those.
+    """
+    cells = stored(
+        facts.groupBy("industry", "sector", "event_type", "state").agg(
+            F.sum("excess_exits").alias("_sum"), F.count("excess_exits").alias("_count")
+        ),
+        "cells",
+    )
+    mean, rows = F.sum("_sum") / F.sum("_count"), F.sum("_count")
+    per_industry = cells.groupBy("industry").agg(mean.alias("industry_vulnerability"), rows.alias("industry_frequency"))
+    per_sector = cells.groupBy("sector").agg(mean.alias("sector_vulnerability"), rows.alias("sector_frequency"))
+    per_type = cells.groupBy("event_type", "sector").agg(mean.alias("type_sector_avg_displacement"))
+    events = facts.select("state", "event_id").distinct().groupBy("state").agg(F.count(F.lit(1)).alias("state_shock_frequency"))
+    out = cells.drop("_sum", "_count").join(per_industry, "industry").join(per_sector, "sector")
+    out = out.join(per_type, ["event_type", "sector"]).join(events, "state")
+    for column, code in (("industry", "industry_code"), ("sector", "sector_code"), ("event_type", "type_code"), ("state", "state_code")):
+        out = out.join(category_code(cells, column, code), column)
+    return out
+
+
 def feature_matrix(impact: DataFrame, shocks: DataFrame, exits: DataFrame, mapping: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """All features of an industry fact, one wide row each.
 
     ``impact`` should be a stored stage, since it is read for the facts, the group
-    statistics and the medians. Features are gathered per shock, per place and per
-    dimension first, so the facts are shuffled for their shock and their months only.
+    statistics and the medians. What joins to the facts (features per shock, per
+    place and month, per place, per dimension) is stored first: its true size is
+    then known, so the optimizer broadcasts exactly what is below its threshold and
+    shuffles the facts only for what is not.
     ``exits`` carry an industry; sectors come from ``mapping``.
     """
     facts = map_lookup(impact, mapping, "industry", "sector", "Other")
@@ -261,25 +294,14 @@ def feature_matrix(impact: DataFrame, shocks: DataFrame, exits: DataFrame, mappi
 
     per_shock = prior_shocks(shocks, history).join(decayed_exposure(shocks).drop("begin_on"), EVENT)
     per_shock = per_shock.select(*EVENT, "prior_shocks", "recently_hit", "exposure_weighted", *temporal_columns(F.col("begin_on")))
-    per_shock = durations(impact, shocks).join(per_shock, EVENT)
-    per_place = concentration_features(sectored).join(sector_growth(sectored), ["county_id", "sector"])
-
-    per_industry = facts.groupBy("industry").agg(
-        F.avg("excess_exits").alias("industry_vulnerability"), F.count(F.lit(1)).alias("industry_frequency")
-    ).join(category_code(facts, "industry", "industry_code"), "industry")
-    per_sector = facts.groupBy("sector").agg(
-        F.avg("excess_exits").alias("sector_vulnerability"), F.count(F.lit(1)).alias("sector_frequency")
-    ).join(category_code(facts, "sector", "sector_code"), "sector")
-    per_type = facts.groupBy("event_type", "sector").agg(F.avg("excess_exits").alias("type_sector_avg_displacement"))
-    per_type = per_type.join(category_code(facts, "event_type", "type_code"), "event_type")
-    per_state = facts.select("state", "event_id").distinct().groupBy("state").agg(
-        F.count(F.lit(1)).alias("state_shock_frequency")
-    ).join(category_code(facts, "state", "state_code"), "state")
-
-    rows = with_months(facts.join(per_shock, EVENT), exits)
-    rows = rows.select("*", *peak_columns()).join(per_industry, "industry").join(per_sector, "sector").join(per_type, ["event_type", "sector"])
-    rows = rows.join(per_state, "state").join(per_place, ["county_id", "sector"], "left")
-    rows = rows.select("*", *scale_columns(median(impact, "baseline_exits")))
+    per_shock = stored(durations(impact, shocks).join(per_shock, EVENT), "per-shock")
+    per_place = stored(concentration_features(sectored).join(sector_growth(sectored), ["county_id", "sector"]), "per-place")
+    per_month = stored(months_ahead(exits), "per-month")
+    dims = stored(fact_dimensions(facts), "dimensions")
+
+    rows = facts.join(per_shock, EVENT).join(dims, ["industry", "sector", "event_type", "state"])
+    rows = with_months(rows.join(per_place, ["county_id", "sector"], "left"), per_month)
+    rows = rows.select("*", *peak_columns(), *scale_columns(median(impact, "baseline_exits")))
     return rows.select("*", *interaction_columns())
 
 

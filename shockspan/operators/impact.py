@@ -160,12 +160,11 @@ def months_ahead(exits: DataFrame, group: str = "industry", months: int = 6) ->
 def exits_by_month_offset(impact: DataFrame, exits: DataFrame, months: int = 6) -> DataFrame:
     """Exits of a shock's industry by calendar month after the shock."""
     keys = ["event_id", "county_id", "begin_on", "industry"]
-    return with_months(impact.select(*keys).distinct(), exits, months)
+    return with_months(impact.select(*keys).distinct(), months_ahead(exits, "industry", months), months)
 
 
-def with_months(rows: DataFrame, exits: DataFrame, months: int = 6) -> DataFrame:
-    """Add the monthly exit counts to rows of place, industry and begin."""
-    ahead = months_ahead(exits, "industry", months)
+def with_months(rows: DataFrame, ahead: DataFrame, months: int = 6) -> DataFrame:
+    """Add the counts of ``months_ahead`` to rows of place, industry and begin."""
     joined = rows.withColumn("start_month", month_index(F.col("begin_on"))).join(ahead, ["county_id", "industry", "start_month"], "left")
     return joined.drop("start_month").fillna(0, [f"exits_month_{m + 1}" for m in range(months)])
 

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from shockspan.operators import features as X
 from shockspan.operators import impact as I
-from shockspan.plans.impact_plans import impact_of
+from shockspan.plans.impact_plans import impact_of, impact_stage
 from shockspan.plans.registry import query, view
-from shockspan.session import stored
 from shockspan.sources.tables import MAJOR
 
 
@@ -17,7 +16,7 @@ def rounded(df, *columns):
 
 
 def sectored(t):
-    return X.map_lookup(impact_of(t), t.industry_map, "industry", "sector", "Other")
+    return X.map_lookup(impact_stage(t), t.industry_map, "industry", "sector", "Other")
 
 
 def sector_exits(t):
@@ -162,7 +161,7 @@ FACT = ["event_id", "county_id", "industry", "window_num"]
          round(ln(1 + baseline_exits), 6) AS log_baseline,
          (baseline_exits > (SELECT median(baseline_exits) FROM impact))::INT AS high_turnover FROM impact""", "impact")
 def _(t):
-    out = X.scale_features(impact_of(t)).select(*FACT, "exit_ratio", "log_baseline", "high_turnover")
+    out = X.scale_features(impact_stage(t)).select(*FACT, "exit_ratio", "log_baseline", "high_turnover")
     return rounded(out, "exit_ratio", "log_baseline")
 
 
@@ -184,7 +183,7 @@ def _(t):
         JOIN impact i ON i.industry = k.industry AND i.event_id % 5 <> f.fold GROUP BY ALL) o
     ON o.industry = a.industry AND o.fold = a.fold""", "impact")
 def _(t):
-    facts = impact_of(t).withColumn("fold", F.col("event_id") % 5)
+    facts = impact_stage(t).withColumn("fold", F.col("event_id") % 5)
     out = X.target_mean(facts, "industry", "industry_vulnerability", fold="fold")
     return rounded(out.select(*FACT, "fold", "industry_vulnerability"), "industry_vulnerability")
 
@@ -193,7 +192,7 @@ def _(t):
   SELECT event_id, county_id, industry, window_num, count(*) OVER (PARTITION BY industry) AS industry_frequency, state_shock_frequency
   FROM impact JOIN (SELECT state, count(DISTINCT event_id) AS state_shock_frequency FROM impact GROUP BY ALL) USING (state)""", "impact")
 def _(t):
-    return X.frequency_encode(impact_of(t)).select(*FACT, "industry_frequency", "state_shock_frequency")
+    return X.frequency_encode(impact_stage(t)).select(*FACT, "industry_frequency", "state_shock_frequency")
 
 
 @query("interaction_features", """
@@ -208,7 +207,7 @@ def _(t):
         AND a.event_id <> b.event_id AND b.begin_on < a.begin_on AND b.begin_on >= a.begin_on - INTERVAL 2 YEAR
         GROUP BY ALL) USING (event_id)""", "impact", "majors")
 def _(t):
-    facts = impact_of(t)
+    facts = impact_stage(t)
     rows = X.duration_days(facts, t.majors).join(X.prior_shocks(t.majors).drop("begin_on"), X.EVENT)
     rows = X.target_mean(rows.withColumn("log_baseline", F.log1p("baseline_exits")), "industry", "industry_vulnerability")
     names = ["shock_x_baseline", "vuln_x_baseline", "duration_x_baseline", "prior_x_vulnerability"]
@@ -271,7 +270,7 @@ view("profiled", """
 
 @query("feature_profile", PROFILE, "profiled")
 def _(t):
-    return rounded(X.feature_profile(X.scale_features(impact_of(t)), PROFILED, "excess_exits"), "mean", "std")
+    return rounded(X.feature_profile(X.scale_features(impact_stage(t)), PROFILED, "excess_exits"), "mean", "std")
 
 
 @query("distinct_keys", "SELECT DISTINCT event_type, county_id, begin_on FROM shocks", "shocks")
@@ -295,7 +294,7 @@ def _(t):
 
 
 def matrix(t):
-    return X.feature_matrix(stored(impact_of(t), "impact"), t.majors, t.exits, t.industry_map)
+    return X.feature_matrix(impact_stage(t), t.majors, t.exits, t.industry_map)
 
 
 @query("feature_matrix")

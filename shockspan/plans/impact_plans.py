@@ -61,6 +61,11 @@ def impact_of(t):
     return I.window_impact(t.majors, t.exits)
 
 
+def impact_stage(t):
+    """The impact facts for queries that read them more than once."""
+    return t.stage("impact", lambda: impact_of(t))
+
+
 @query("window_impact", "SELECT * FROM impact", "impact")
 def _(t):
     return impact_of(t)

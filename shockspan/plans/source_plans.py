@@ -41,12 +41,12 @@ def _(t):
 
 
 @query("read_persons", """
-  SELECT county_id, count(*) AS jobs, count(ended_on) AS ended, count(DISTINCT industry) AS industries FROM jobs GROUP BY ALL""", "jobs")
+  SELECT county_id, count(*) * 2 AS jobs, count(ended_on) AS ended, count(DISTINCT industry) AS industries FROM jobs GROUP BY ALL""", "jobs")
 def _(t):
     people = R.read_persons(t.spark, written(t.persons.select("jobs"), "json"))
     job = people.select(F.explode("jobs").alias("j"))
     return job.groupBy(F.col("j.location_details.county_id").alias("county_id")).agg(
-        F.count(F.lit(1)).alias("jobs"), F.count("j.ended_at").alias("ended"), F.countDistinct("j.company.industry").alias("industries")
+        F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("j.ended_at") != "").alias("ended"), F.countDistinct("j.company.industry").alias("industries")
     )
 
 

@@ -109,16 +109,20 @@ class Tables:
 
     @cached_property
     def persons(self) -> DataFrame:
-        """Jobs nested per person, the shape of a raw employment history."""
+        """Jobs nested per person, the shape of a raw employment history: the job of
+        a line and a job that still runs. Nothing is grouped for it."""
         rows = self.jobs.join(self.table("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        job = F.struct(
-            F.col("title"),
-            F.col("started_on").cast("string").alias("started_at"),
-            F.col("ended_on").cast("string").alias("ended_at"),
-            F.struct("county_id", F.col("area").alias("locality"), F.col("state").alias("region")).alias("location_details"),
-            F.struct(F.col("s_name").alias("name"), "industry").alias("company"),
-        )
-        return rows.groupBy("person_id").agg(F.collect_list(job).alias("jobs"))
+
+        def job(ended):
+            return F.struct(
+                F.col("title"),
+                F.col("started_on").cast("string").alias("started_at"),
+                ended.alias("ended_at"),
+                F.struct("county_id", F.col("area").alias("locality"), F.col("state").alias("region")).alias("location_details"),
+                F.struct(F.col("s_name").alias("name"), "industry").alias("company"),
+            )
+
+        return rows.select("person_id", F.array(job(F.col("ended_on").cast("string")), job(F.lit(""))).alias("jobs"))
 
     @cached_property
     def industry_map(self) -> DataFrame:
@@ -127,8 +131,10 @@ class Tables:
         lead = n.groupBy("p_brand").agg(
             F.min(F.struct((-F.col("n")).alias("m"), "p_type")).alias("lead"), F.sum("n").alias("total")
         )
-        return lead.filter(-F.col("lead.m") * 9 >= F.col("total") * 2).select(
-            F.col("p_brand").alias("industry"), F.initcap(F.col("lead.p_type")).alias("sector")
+        clear = lead.filter(-F.col("lead.m") * 9 >= F.col("total") * 2)
+        return self.stage(
+            "industry-map",
+            lambda: clear.select(F.col("p_brand").alias("industry"), F.initcap(F.col("lead.p_type")).alias("sector")),
         )
 
     @cached_property
