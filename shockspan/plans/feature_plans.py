@@ -297,6 +297,64 @@ def matrix(t):
     return X.feature_matrix(impact_stage(t), t.majors, t.exits, t.industry_map)
 
 
-@query("feature_matrix")
+def r6(*exprs):
+    return ", ".join(f"round({e}, 6) AS {n}" for n, e in (x.split("=", 1) for x in exprs))
+
+
+view("shock_history", """
+  SELECT a.event_id, a.county_id, count(b.event_id) AS prior_shocks, (count(b.event_id) > 0)::INT AS recently_hit,
+         coalesce(sum(exp(-datediff('day', b.begin_on, a.begin_on) / 365.0::DOUBLE)), 0) AS exposure_weighted
+  FROM majors a LEFT JOIN majors b ON a.county_id = b.county_id AND a.event_id <> b.event_id
+       AND b.begin_on < a.begin_on AND b.begin_on >= a.begin_on - INTERVAL 2 YEAR
+  GROUP BY a.event_id, a.county_id""", "majors")
+view("shock_durations", """
+  SELECT event_id, county_id, end_on, greatest(0, coalesce(end_on - begin_on,
+           (SELECT median(end_on - begin_on) FROM majors JOIN impact USING (event_id, county_id, begin_on))))::DOUBLE AS duration_days
+  FROM majors""", "majors", "impact")
+view("place_stats", """
+  SELECT county_id, sector, sum(n)::BIGINT AS sector_size, ln(1 + sum(n)) AS log_sector_size,
+         sum(n) / any_value(whole) AS sector_concentration, any_value(sq) / any_value(whole) ** 2 AS herfindahl_index,
+         CASE WHEN count(*) > 1 THEN regr_slope(n, y) ELSE 0 END AS sector_growth_trend
+  FROM (SELECT county_id, sector, year(ended_on) AS y, count(*) AS n FROM sector_exits GROUP BY ALL)
+  JOIN (SELECT county_id, sum(c) AS whole, sum(c * c) AS sq FROM (SELECT county_id, sector, count(*) AS c FROM sector_exits GROUP BY ALL)
+        GROUP BY county_id) USING (county_id)
+  GROUP BY county_id, sector""", "sector_exits")
+view("peaked", PEAK, "month_offsets")
+CODES = ", ".join(f"(dense_rank() OVER (ORDER BY s.{c}) - 1)::INT AS {n}" for c, n in (
+    ("industry", "industry_code"), ("sector", "sector_code"), ("event_type", "type_code"), ("state", "state_code")))
+view("matrix_groups", f"""
+  SELECT s.*, {CODES}, state_shock_frequency,
+         avg(excess_exits) OVER (PARTITION BY industry) AS industry_vulnerability, count(*) OVER (PARTITION BY industry) AS industry_frequency,
+         avg(excess_exits) OVER (PARTITION BY sector) AS sector_vulnerability, count(*) OVER (PARTITION BY sector) AS sector_frequency,
+         avg(excess_exits) OVER (PARTITION BY event_type, sector) AS type_sector_avg_displacement
+  FROM sectored s JOIN (SELECT state, count(DISTINCT event_id) AS state_shock_frequency FROM impact GROUP BY ALL) USING (state)""",
+     "sectored", "impact")
+MATRIX = f"""
+  SELECT m.event_id, m.county_id, m.begin_on, m.event_type, m.title, m.area, m.state, m.industry, m.sector, m.window_num,
+         post_exits, baseline_yr2_exits, baseline_yr3_exits, baseline_exits, excess_exits, end_on, duration_days, prior_shocks, recently_hit,
+         month(m.begin_on)::INT AS shock_month, quarter(m.begin_on)::INT AS shock_quarter, year(m.begin_on)::INT AS shock_year,
+         sector_size, {", ".join(f"exits_month_{i}" for i in range(1, 7))}, peak_exit_month, peak_exits, immediate_impact,
+         (baseline_exits > (SELECT median(baseline_exits) FROM impact))::INT AS high_turnover,
+         industry_code, sector_code, type_code, state_code, industry_frequency, sector_frequency, state_shock_frequency,
+         {r6("log_duration=ln(1 + duration_days)", "exposure_weighted=exposure_weighted", "month_sin=sin(2 * pi() * month(m.begin_on) / 12)",
+             "month_cos=cos(2 * pi() * month(m.begin_on) / 12)", "log_sector_size=log_sector_size", "sector_concentration=sector_concentration",
+             "herfindahl_index=herfindahl_index", "sector_growth_trend=sector_growth_trend", "log_baseline=ln(1 + baseline_exits)",
+             "exit_ratio=CASE WHEN baseline_exits > 0 THEN post_exits / baseline_exits ELSE post_exits END",
+             "industry_vulnerability=industry_vulnerability", "sector_vulnerability=sector_vulnerability",
+             "type_sector_avg_displacement=type_sector_avg_displacement", "shock_x_baseline=ln(1 + baseline_exits)",
+             "vuln_x_baseline=industry_vulnerability * ln(1 + baseline_exits)",
+             "duration_x_baseline=ln(1 + duration_days) * ln(1 + baseline_exits)", "prior_x_vulnerability=prior_shocks * industry_vulnerability")}
+  FROM matrix_groups m JOIN shock_durations d USING (event_id, county_id) JOIN shock_history h USING (event_id, county_id)
+  JOIN place_stats p USING (county_id, sector)
+  JOIN peaked k ON k.event_id = m.event_id AND k.county_id = m.county_id AND k.industry = m.industry"""
+
+
+def matrix(t):
+    return X.feature_matrix(impact_stage(t), t.majors, t.exits, t.industry_map)
+
+
+@query("feature_matrix", MATRIX, "matrix_groups", "shock_durations", "shock_history", "place_stats", "peaked", "impact")
 def _(t):
-    return matrix(t)
+    out = matrix(t)
+    whole = {"baseline_exits", "excess_exits", "duration_days"}
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double" and c not in whole])
