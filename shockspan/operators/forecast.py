@@ -118,15 +118,16 @@ def exp_smoothing(series: DataFrame, alpha: float = 0.3, horizon: int = 72, keys
 def seasonal_mean_forecast(series: DataFrame, horizon: int = 12, keys: list[str] = KEYS) -> DataFrame:
     """Mean of the month, moved by the yearly slope where that is significant.
 
-    The month's mean and sample deviation are taken to two places first; the band
-    is open above for months seen only once.
+    Series shorter than a year are left out. The month's mean and sample deviation
+    are taken to two places first; the band is open above for months seen only once.
     """
     year, y = F.month("month"), F.col("n")
     fit = series.groupBy(*keys).agg(
         F.max("month").alias("last"),
         F.transform(month_means(), lambda x: half_even(x, 2)).alias("means"),
         F.array(*[half_even(F.stddev_samp(F.when(year == m, y)), 2) for m in range(1, 13)]).alias("devs"),
-    )
+        F.count(y).alias("n_months"),
+    ).filter(F.col("n_months") >= SEASON)
     trend = trend_test(series, keys, "month", F.col("n"), least=3).select(*keys, "slope", "trend")
     rows = fit.join(trend, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     at = F.add_months("last", F.col("step"))

@@ -248,20 +248,24 @@ def _(t):
 
 view("yearly", "SELECT state, event_type, year(month) AS year, sum(n) AS total FROM spanned GROUP BY ALL", "spanned")
 view("combo_trend", """
-  SELECT state, event_type, slope, p,
-         CASE WHEN p < 0.05 AND slope > 0 THEN 'increasing' WHEN p < 0.05 THEN 'decreasing' ELSE 'stable' END AS trend, r2
-  FROM (SELECT *, 1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * cos(th) ** 3)) AS p
-        FROM (SELECT state, event_type, slope, r2, atan(sqrt(r2 * 5 / (1 - r2)) / sqrt(5.0::DOUBLE)) AS th
-              FROM (SELECT state, event_type, regr_slope(total, year) AS slope, regr_r2(total, year) AS r2
-                    FROM yearly GROUP BY ALL HAVING count(*) = 7)))""", "yearly")
+  SELECT state, event_type, slope, p, r2,
+         CASE WHEN slope IS NULL THEN 'insufficient_data' WHEN p < 0.05 AND slope > 0 THEN 'increasing' WHEN p < 0.05 THEN 'decreasing'
+              ELSE 'stable' END AS trend
+  FROM (SELECT *, CASE WHEN r2 >= 1 THEN 0 ELSE 1 - CASE n - 2 WHEN 1 THEN 2 / pi() * th WHEN 2 THEN sin(th) WHEN 3 THEN 2 / pi() * (th + sin(th) * cos(th))
+                         WHEN 4 THEN sin(th) * (1 + cos(th) ** 2 / 2)
+                         WHEN 5 THEN 2 / pi() * (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * cos(th) ** 3)) END END AS p
+        FROM (SELECT *, CASE WHEN r2 < 1 THEN atan(sqrt(r2 * (n - 2) / (1 - r2)) / sqrt((n - 2)::DOUBLE)) END AS th
+              FROM (SELECT state, event_type, count(*) AS n, CASE WHEN count(*) >= 3 THEN regr_slope(total, year) END AS slope,
+                           CASE WHEN count(*) >= 3 THEN CASE WHEN var_pop(total) = 0 THEN 0 ELSE regr_r2(total, year) END END AS r2
+                    FROM yearly GROUP BY ALL)))""", "yearly")
 
 
 @query("trend_test", """
-  SELECT state, event_type, round(slope, 6) AS slope, round(r2, 4) AS r_squared, round(p, 4) AS p_value, trend
+  SELECT state, event_type, round(slope, 6) AS slope, round(r2, 8) AS r_squared, round(p, 4) AS p_value, trend
   FROM combo_trend""", "combo_trend")
 def _(t):
     out = S.trend_test(spanned(t), S.KEYS, "month", F.col("n"))
-    return out.select(*S.KEYS, F.round("slope", 6).alias("slope"), F.round("r_squared", 4).alias("r_squared"), F.round("p_value", 4).alias("p_value"), "trend")
+    return out.select(*S.KEYS, F.round("slope", 6).alias("slope"), F.round("r_squared", 8).alias("r_squared"), F.round("p_value", 4).alias("p_value"), "trend")
 
 
 @query("linear_trend", """
@@ -309,9 +313,9 @@ def _(t):
   SELECT state, event_type, step, month, trend, round(value, 6) AS predicted,
          round(coalesce(greatest(0, value - 1.96 * dev), 0), 6) AS lower, round(value + 1.96 * dev, 6) AS upper
   FROM (SELECT state, event_type, step, a.month, trend, dev,
-               mean + CASE WHEN trend <> 'stable' THEN round_even(slope, 2) * step / 12 ELSE 0 END AS value
+               mean + CASE WHEN trend IN ('increasing', 'decreasing') THEN round_even(slope, 2) * step / 12 ELSE 0 END AS value
         FROM (SELECT state, event_type, step::INT AS step, (max(month) + to_months(step::INT))::DATE AS month
-              FROM spanned CROSS JOIN (SELECT unnest(range(1, 13)) AS step) GROUP BY state, event_type, step) a
+              FROM spanned CROSS JOIN (SELECT unnest(range(1, 13)) AS step) GROUP BY state, event_type, step HAVING count(*) >= 12) a
         JOIN (SELECT state, event_type, month(month) AS m, round_even(avg(n), 2) AS mean, round_even(stddev_samp(n), 2) AS dev
               FROM spanned GROUP BY ALL) s USING (state, event_type)
         JOIN combo_trend USING (state, event_type) WHERE s.m = month(a.month))""", "spanned", "combo_trend")
