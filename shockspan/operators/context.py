@@ -12,6 +12,7 @@ from shockspan.functions import phrases as T
 from shockspan.functions.columns import fixed, type_label
 from shockspan.operators import narrative as N
 from shockspan.operators import serving as V
+from shockspan.session import stored
 
 
 def line_block(rows: DataFrame, keys: list[str], order: Column, line: Column, out: str = "body") -> DataFrame:
@@ -94,38 +95,53 @@ def surge_texts(scenarios: DataFrame) -> DataFrame:
     return per_type.unionByName(block(whole, ["asked_type"], N.say(" (%s)", type_label(F.col("event_type"))), F.lit("")))
 
 
+ASKED = ["intent", "asked_states", "asked_state", "asked_type"]
+
+
 def structured_answers(routed: DataFrame, scenarios: DataFrame, forecast: DataFrame, limit: int = 10) -> DataFrame:
-    """The structured text of each routed question; null where its query finds nothing."""
-    fixed_texts = [
-        ("top_risk", N.top_risk_text(V.top_risk(scenarios, forecast, limit), limit)),
-        ("preposition", N.preposition_text(V.preposition(scenarios, forecast, limit), limit)),
-        ("recovery_variance", N.variance_text(V.recovery_variance(scenarios))),
+    """The structured text of each routed question; null where its query finds nothing.
+
+    All texts that can be asked for form one small stored table, keyed by intent and
+    parameters, so the questions meet it in one join and are not shuffled by intent.
+    """
+    texts = [
+        N.top_risk_text(V.top_risk(scenarios, forecast, limit), limit).withColumn("intent", F.lit("top_risk")),
+        N.preposition_text(V.preposition(scenarios, forecast, limit), limit).withColumn("intent", F.lit("preposition")),
+        N.variance_text(V.recovery_variance(scenarios)).withColumn("intent", F.lit("recovery_variance")),
     ]
-    one = reduce(
-        lambda a, b: a.unionByName(b), [df.select(F.lit(k).alias("intent"), F.col("text").alias("structured")) for k, df in fixed_texts]
-    )
-    of = lambda k: routed.filter(F.col("intent") == k)
-    same = lambda a, b, *cs: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cs])
-    plain = routed.filter(~F.col("intent").isin("sector_ranking", "portfolio", "demand_surge")).join(one, "intent", "left")
-    ranks, surges = sector_ranking_texts(scenarios), surge_texts(scenarios)
-    asked = of("sector_ranking")
-    ranked = asked.join(ranks, same(asked, ranks, "asked_state", "asked_type"), "left").select(asked["*"], "structured")
-    hired = of("demand_surge")
-    surged = hired.join(surges, same(hired, surges, "asked_type"), "left").select(hired["*"], "structured")
-    held = of("portfolio").join(portfolio_texts(scenarios, of("portfolio")), ["asked_states", "asked_type"], "left")
-    return reduce(lambda a, b: a.unionByName(b), [plain, ranked, surged, held])
+    texts = [df.withColumnRenamed("text", "structured") for df in texts]
+    texts.append(sector_ranking_texts(scenarios).withColumn("intent", F.lit("sector_ranking")))
+    texts.append(surge_texts(scenarios).withColumn("intent", F.lit("demand_surge")))
+    held = portfolio_texts(scenarios, routed.filter(F.col("intent") == "portfolio"))
+    texts.append(held.withColumn("intent", F.lit("portfolio")).withColumn("asked_states", state_list("asked_states")))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), texts)
+    every = stored(every.select(*ASKED, "structured"), "answers")
+    same = [
+        F.col(f"q.{c}").eqNullSafe(F.col(f"a.{c}")) if c != "asked_states" else state_list("q.asked_states").eqNullSafe(F.col("a.asked_states"))
+        for c in ASKED
+    ]
+    joined = routed.alias("q").join(every.alias("a"), reduce(lambda x, y: x & y, same), "left")
+    return joined.select("q.*", "a.structured")
+
+
+def state_list(column: str) -> Column:
+    """A list of states as a join key; null stays null."""
+    return F.when(F.col(column).isNotNull(), F.array_join(column, ","))
 
 
 def question_context(answers: DataFrame, forecasts: DataFrame, county_texts: DataFrame, state_texts: DataFrame, retrieved: DataFrame, audience: Column) -> DataFrame:
     """One context text per question: forecast, impact, structured result, passages.
 
     ``answers`` are routed questions with their structured text; the exact county's
-    impact text goes before the state's; default sentences stand in for gaps.
+    impact text goes before the state's; default sentences stand in for gaps. The
+    texts are stored, so that their size decides between broadcast and shuffle.
     """
+    county_texts = county_texts.select("county_id", "event_type", F.col("prediction_text").alias("_county"))
+    state_texts = state_texts.select("state", "event_type", F.col("prediction_text").alias("_state"))
     rows = (
-        answers.join(forecasts.select("state", "event_type", "forecast_text"), ["state", "event_type"], "left")
-        .join(county_texts.select("county_id", "event_type", F.col("prediction_text").alias("_county")), ["county_id", "event_type"], "left")
-        .join(state_texts.select("state", "event_type", F.col("prediction_text").alias("_state")), ["state", "event_type"], "left")
+        answers.join(stored(forecasts.select("state", "event_type", "forecast_text"), "forecast-texts"), ["state", "event_type"], "left")
+        .join(stored(county_texts, "county-texts"), ["county_id", "event_type"], "left")
+        .join(stored(state_texts, "state-texts"), ["state", "event_type"], "left")
         .join(retrieved.select("query_id", "retrieved"), "query_id", "left")
     )
     said = lambda c, default: F.coalesce(c, F.lit(default))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shockspan.functions.columns import clamp, half_even, month_index, type_key
+from shockspan.session import stored
 
 CAP = 95
 SCENARIO = ["event_type", "county_id"]
@@ -164,6 +165,6 @@ def resolve_prediction(requests: DataFrame, scenarios: DataFrame) -> DataFrame:
     known = scenarios.select(*SCENARIO).distinct()
     exact = requests.join(scenarios.select(*SCENARIO, *values), SCENARIO).withColumn("source", F.lit("county"))
     rest = requests.join(known, SCENARIO, "left_anti")
-    by_state = rollup_state(scenarios).select("event_type", "state", *values)
+    by_state = stored(rollup_state(scenarios).select("event_type", "state", *values), "by-state")
     fallback = rest.join(by_state.withColumn("source", F.lit("state")), ["event_type", "state"], "left")
     return exact.unionByName(fallback)

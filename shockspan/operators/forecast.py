@@ -36,6 +36,7 @@ def trend_fit(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     spread = (F.regr_syy(y, t) - F.regr_sxy(y, t) * F.regr_sxy(y, t) / F.regr_sxx(y, t)) / F.count(y)
     fit = series.groupBy(*keys).agg(
         F.max(months).alias("months"),
+        F.max("month").alias("last_month"),
         F.avg(y).alias("mean"),
         F.when(F.count(y) >= 3, F.regr_slope(y, t)).otherwise(0.0).alias("slope"),
         F.when(F.count(y) >= 3, F.regr_intercept(y, t)).otherwise(F.avg(y)).alias("intercept"),
@@ -65,10 +66,8 @@ def trend_value(step: Column) -> Column:
 
 def trend_seasonal_forecast(series: DataFrame, horizon: int = 72, keys: list[str] = KEYS) -> DataFrame:
     """Line times seasonal index with a 95 % band from the residuals' deviation."""
-    last = series.groupBy(*keys).agg(F.max("month").alias("last_month"))
-    fit = trend_fit(series, keys).join(last, keys)
     return with_band(
-        fit.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).select(
+        trend_fit(series, keys).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).select(
             *keys,
             F.col("step"),
             F.add_months("last_month", F.col("step") + 1).alias("month"),

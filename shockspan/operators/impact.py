@@ -114,17 +114,11 @@ def window_impact(
             ]
         )
     )
-    facts = counts.select("county_id", "begin_on", "industry", spread.alias("w")).select(
-        "county_id", "begin_on", "industry", "w.*"
-    )
-    facts = facts.filter(F.col("post_exits") + F.col("baseline_yr2_exits") + F.col("baseline_yr3_exits") > 0)
     places = dedup_shocks(shocks.select("event_id", "county_id", "begin_on", *carry))
-    return with_excess(
-        places.join(facts, ["county_id", "begin_on"]).select(
-            "event_id", "county_id", "begin_on", *carry, "industry", "window_num",
-            "post_exits", "baseline_yr2_exits", "baseline_yr3_exits",
-        )
-    )
+    joined = places.join(counts, ["county_id", "begin_on"])  # before the windows are spread: a third of the rows
+    facts = joined.select("event_id", "county_id", "begin_on", *carry, "industry", spread.alias("w"))
+    facts = facts.select("event_id", "county_id", "begin_on", *carry, "industry", "w.*")
+    return with_excess(facts.filter(F.col("post_exits") + F.col("baseline_yr2_exits") + F.col("baseline_yr3_exits") > 0))
 
 
 def with_excess(facts: DataFrame) -> DataFrame:

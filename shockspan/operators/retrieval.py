@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shockspan.functions import phrases as T
+from shockspan.session import stored
 
 # Categories that pass whatever the state or type, per filter mode.
 STATE_AND_TYPE = ["model_output", "forecast", "fema", "warn_act", "cobra", "retraining", "recovery_timelines", "transferable_skills"]
@@ -51,7 +52,7 @@ def topk_cosine(chunks: DataFrame, queries: DataFrame, k: int = 6, vector: str =
     chunks per query, so what is shuffled is k rows per task and query, never the
     pairs. Queries travel to the tasks in passes of a bounded count.
     """
-    asked = queries.select("query_id", "state", "event_type", vector).filter(F.col(vector).isNotNull())
+    asked = stored(queries.select("query_id", "state", "event_type", vector).filter(F.col(vector).isNotNull()), "queries")
     passes = max(1, -(-asked.count() // QUERIES_PER_PASS))
     turn = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     rows = chunks.select("id", "category", "state", "event_type", vector).filter(F.col(vector).isNotNull())
@@ -116,12 +117,16 @@ def scanner(block, vector: str, k: int):
 
 
 def format_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Numbered source labels and texts per query."""
+    """Numbered source labels and texts per query.
+
+    The hits are stored first: being few, they travel to the chunks' texts instead of
+    the texts being shuffled.
+    """
     label = F.concat(
         F.format_string("[Source %d — %s]", "rank", F.coalesce("category", F.lit("unknown"))),
         F.when(F.coalesce("source", F.lit("")) != "", F.format_string(" (%s)", "source")).otherwise(""),
     )
-    rows = hits.join(chunks.select("id", "category", "source", "text"), "id")
+    rows = stored(hits, "hits").join(chunks.select("id", "category", "source", "text"), "id")
     part = F.struct("rank", F.concat_ws("\n", label, "text").alias("s"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda r: r["s"]), "\n\n")
     return rows.groupBy("query_id").agg(joined.alias("retrieved"))

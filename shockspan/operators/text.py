@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockspan.functions.columns import first_match, strip
+from shockspan.session import stored
 
 # Chunk length and overlap in characters.
 CHUNK_SIZE = 800
@@ -112,13 +113,15 @@ def build_corpus(documents: DataFrame, predictions: DataFrame, profiles: DataFra
 def upsert_chunks(target: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Target with the batch's rows inserted or replaced.
 
-    Within the batch the row with the largest ``order`` wins. The result has to go
-    to a new path, since it still reads the target.
+    Within the batch the row with the largest ``order`` wins. The batch is stored, so
+    its keys are broadcast as long as they are few and the target stays in place. The
+    result has to go to a new path, since it still reads the target.
     """
     if order is not None:
         rest = [c for c in batch.columns if c not in (key, order)]
         last = F.max(F.struct(order, *rest)).alias("_r")
         batch = batch.groupBy(key).agg(last).select(key, *[f"_r.{c}" for c in rest])
+    batch = stored(batch, "batch")
     return target.join(batch.select(key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
