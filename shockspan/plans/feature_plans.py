@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shockspan.functions.columns import half_even
 from shockspan.operators import features as X
 from shockspan.operators import impact as I
 from shockspan.plans.impact_plans import impact_of, impact_stage
@@ -298,7 +299,7 @@ def matrix(t):
 
 
 def r6(*exprs):
-    return ", ".join(f"round({e}, 6) AS {n}" for n, e in (x.split("=", 1) for x in exprs))
+    return ", ".join(f"round_even({e}, 6) AS {n}" for n, e in (x.split("=", 1) for x in exprs))
 
 
 view("shock_history", """
@@ -356,5 +357,5 @@ def matrix(t):
 @query("feature_matrix", MATRIX, "matrix_groups", "shock_durations", "shock_history", "place_stats", "peaked", "impact")
 def _(t):
     out = matrix(t)
-    whole = {"baseline_exits", "excess_exits", "duration_days"}
-    return rounded(out, *[c for c, kind in out.dtypes if kind == "double" and c not in whole])
+    exact = {"baseline_exits", "excess_exits", "duration_days"}
+    return out.withColumns({c: half_even(F.col(c), 6) for c, kind in out.dtypes if kind == "double" and c not in exact})
