@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from shockspan.operators import impact as I
 from shockspan.plans.registry import query, view
 

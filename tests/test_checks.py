@@ -26,6 +26,11 @@ def test_everything_is_checked():
     assert set(QUERIES) - set(CHECKS) == FITS
 
 
+def test_checks_give_plain_types(con):
+    kinds = {row[1] for sql in CHECKS.values() for row in con.execute("DESCRIBE " + sql).fetchall()}
+    assert kinds <= {"VARCHAR", "BIGINT", "INTEGER", "DOUBLE", "BOOLEAN", "TIMESTAMP"}
+
+
 def test_entry_is_stable(spark):
     out = entry.entry(spark)
     assert out.columns == ["window_num", "event_type", "mean_excess", "n_rows"]
