@@ -4,10 +4,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from shockspan.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-CHECKS = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+CHECKS = catalog.checks()
 # Fits whose result SQL cannot repeat; test_models covers them.
 FITS = {"negbin_forecast", "additive_forecast", "compare_models", "cross_validate", "train_boosted", "feature_importance", "embed"}
 
