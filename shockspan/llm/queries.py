@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockspan.llm import host_reputation, line_dedup, rules
+from shockspan.llm import decontaminate, host_reputation, line_dedup, packing, rules, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -89,6 +89,21 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 """
 
 
+@query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.components(table(spark, folder, "documents"))
+
+
+@query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -128,3 +143,10 @@ hit AS (SELECT DISTINCT doc_id FROM flat f JOIN cuts c ON f.stratum = c.stratum
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hit.doc_id IS NULL AS kept
 FROM stat LEFT JOIN hit USING (doc_id)
 """
+
+
+@query
+def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
