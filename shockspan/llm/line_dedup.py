@@ -89,7 +89,6 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_doc
         keys.join(held, ["h1", "h2"])
         .filter("id <> keep")
         .select("id", "h1", "h2")
-        .distinct()
         .groupBy("id")
         .agg(F.collect_list("h1").alias("g1"), F.collect_list("h2").alias("g2"))
     )
