@@ -64,3 +64,19 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         held += int(n)
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+def sampled(rows: DataFrame, id_column: Column, most: int, by: Column | None = None) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of the id; all rows where they are fewer.
+
+    ``by`` shares the number equally between its values (few ones: classes, languages).
+    """
+    group = F.lit(1) if by is None else by
+    counts = {r[0]: r[1] for r in rows.groupBy(group.alias("g")).count().collect()}
+    place = F.pmod(F.xxhash64(id_column, F.lit("sample")), F.lit(1 << 30))
+    taken, rest, left = F.lit(False), most, len(counts)
+    for value, n in sorted(counts.items(), key=lambda x: x[1]):  # what small groups leave goes to the larger
+        share = rest // left
+        taken = taken | (group.eqNullSafe(F.lit(value)) & (place < int(min(1.0, share / n) * (1 << 30))))
+        rest, left = rest - min(share, n), left - 1
+    return rows.filter(taken)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shockspan.llm import decontaminate, host_reputation, line_dedup, packing, rules, simhash, suffix
+from shockspan.llm import decontaminate, host_reputation, language, line_dedup, packing, quality, rules, simhash, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -45,6 +45,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.scored(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -89,6 +95,18 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 """
 
 
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.identified(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components(table(spark, folder, "documents"))
