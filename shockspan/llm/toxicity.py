@@ -1,8 +1,11 @@
 """Toxicity by weak supervision: many voters, a label model, a linear classifier.
 
-Voters. A general lexicon of insults and a few patterns vote on every text; further
-lexicon voters are words that labelled toxic documents hold far more often than others
-(counted over a bounded sample of labelled documents by a grouped aggregate).
+Voters. A general lexicon of insults and a few patterns vote on every text. Further
+voters are words and stems (first 4 to 8 letters, for insults come inflected) that labelled
+toxic documents hold many times more often than others: candidates are counted over a bounded
+sample of labelled documents by a grouped aggregate, then taken one by one while they
+explain toxic documents that few earlier voters explain, so the many rare words that
+copies of a toxic document share do not crowd in.
 
 Label model. For a hidden class, each voter's chances of firing in toxic and in other
 documents, that is its accuracy, are estimated by expectation maximisation; labelled
@@ -23,6 +26,7 @@ columns are carried along, those named like the results are replaced.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,8 +43,8 @@ from shockspan.llm.quality import best_label
 from shockspan.session import stored
 
 #: Labelled documents of each class, unlabelled ones, and mined words, at most.
-LABELLED, UNLABELLED, MINED = 10_000, 3_000, 400
-SUPPORT, PURITY = 5, 0.8
+LABELLED, UNLABELLED, MINED = 8_000, 3_000, 400
+CANDIDATES, SUPPORT, LIFT, COVER, STEMS = 30_000, 4, 12.0, 8, (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 LEXICON = (
     "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "worthless", "pathetic", "disgusting", "clown",
@@ -59,10 +63,23 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def votes(text: str | None, place: dict[str, int]) -> list[int]:
-    """The voters that fire: places of words, then of patterns."""
-    words = words_of(text)
+def stems_of(place: dict[str, int]) -> set[int]:
+    """The lengths of the stems among the voters; a stem ends in a star."""
+    return {len(w) - 1 for w in place if w.endswith("*")}
+
+
+def hits(words: list[str], place: dict[str, int], lengths: set[int]) -> Counter:
+    """How often each voter's word or stem occurs."""
     own = Counter(w for w in words if w in place)
+    for n in lengths:
+        own.update(x for w in words if (x := w[:n] + "*") in place)
+    return own
+
+
+def votes(text: str | None, place: dict[str, int], lengths: set[int]) -> list[int]:
+    """The voters that fire: places of words and stems, then of patterns."""
+    words = words_of(text)
+    own = hits(words, place, lengths)
     n, total = len(place), sum(own.values())
     fired = [place[w] for w in own]
     tests = [False] * len(PATTERNS)
@@ -120,7 +137,7 @@ def label_model(x: np.ndarray, label: np.ndarray, prior: np.ndarray, rounds: int
     return share, discount
 
 
-def classifier(x: np.ndarray, share: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def classifier(x: np.ndarray, share: np.ndarray, ridge: float = 0.2, steps: int = 30) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last weight is the offset."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -149,28 +166,58 @@ def trained(place: dict[str, int], fired: list[list[int]], label: np.ndarray) ->
     if not len(fired):
         x, label = np.zeros((2, n)), np.array([0, 1])
         x[0, n - 1], x[1, : len(place)] = 1, 1
-    share, discount = label_model(x, label, prior)
-    # correlated votes share their evidence in the classifier as well
-    weight = classifier(x * discount, share)
-    weight[:-1] *= discount
-    return Voters(place, weight)
+    share, _ = label_model(x, label, prior)
+    return Voters(place, classifier(x, share))
 
 
-def _words_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        found: Counter = Counter()
+        toxic: Counter = Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            own = list(set(words_of(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], names=["word", "label"])
-
-
-def mined_words(sample: DataFrame, most: int = MINED) -> list[str]:
-    """Words of toxic documents mainly, by the lower bound of their share among toxic ones."""
-    words = sample.filter("label >= 0").select("text", "label").mapInArrow(_words_once, "word string, label int")
-    counts = words.groupBy("word").agg(F.sum("label").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("n"))
-    share = F.col("t") / F.col("n")
-    sure = share - F.sqrt(share * (1 - share) / F.col("n") + 1 / (4 * F.col("n") * F.col("n")))
-    found = counts.filter((F.col("t") >= SUPPORT) & (share >= PURITY)).select("word", sure.alias("sure"), "n")
-    return [r["word"] for r in found.orderBy(F.desc("sure"), F.desc("n"), "word").limit(most).collect()]
+            own = set(words_of(text))
+            own |= {w[:n] + "*" for w in own for n in STEMS if len(w) >= n}
+            found.update(own)
+            if label == 1:
+                toxic.update(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array([toxic[w] for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())],
+            names=["word", "t", "n"],
+        )
+
+
+def candidates(sample: DataFrame, most: int = CANDIDATES) -> list[str]:
+    """Words and stems of toxic documents mainly, those in most of them first."""
+    parts = sample.filter("label >= 0").select("text", "label").mapInArrow(_candidates, "word string, t long, n long")
+    totals = {r["label"]: r["count"] for r in sample.filter("label >= 0").groupBy("label").count().collect()}
+    counts = parts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    lift = F.col("t") * totals.get(0, 0) / ((F.col("n") - F.col("t") + 0.5) * max(1, totals.get(1, 0)))
+    found = counts.filter((F.col("t") >= SUPPORT) & (lift >= LIFT))
+    return [r["word"] for r in found.orderBy(F.desc("t"), "n", F.desc(F.length("word")), "word").limit(most).collect()]
+
+
+def chosen_voters(fired: list[list[int]], n_lexicon: int, most: int = MINED) -> list[int]:
+    """Candidates that explain toxic documents without a lexicon word, each by COVER of them at most."""
+    rows: dict[int, set[int]] = {}
+    for row, f in enumerate(fired):
+        if min(f, default=n_lexicon) >= n_lexicon:
+            for i in f:
+                rows.setdefault(i, set()).add(row)
+    queue = [(-len(r), i) for i, r in rows.items()]
+    heapq.heapify(queue)
+    explained: Counter = Counter()
+    full: set[int] = set()
+    out: list[int] = []
+    while queue and len(out) < most and -queue[0][0] >= SUPPORT:
+        gain, i = heapq.heappop(queue)
+        now = len(rows[i] - full)
+        if now < -gain:  # earlier voters took some of it
+            heapq.heappush(queue, (-now, i))
+        else:
+            out.append(i)
+            explained.update(rows[i])
+            full |= {r for r in rows[i] if explained[r] >= COVER}
+    return out
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Voters:
@@ -181,15 +228,23 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
     with_label = texts.join(F.broadcast(marks), "label_id")  # the sample is bounded
     others = sampled(texts.filter(learn), F.col("label_id"), unlabelled).withColumn("label", F.lit(-1))
     sample = stored(with_label.unionByName(others.select("label_id", "text", "label")), "toxic-sample")
-    mined = mined_words(sample)
-    place = {w: i for i, w in enumerate(dict.fromkeys([*LEXICON, *mined]))}
-    fire = F.pandas_udf(lambda s: pd.Series([votes(t, place) for t in s]), "array<int>")
+    lexicon = list(dict.fromkeys(LEXICON))
+    place = {w: i for i, w in enumerate(dict.fromkeys([*lexicon, *candidates(sample)]))}
+    lengths = stems_of(place)
+    fire = F.pandas_udf(lambda s: pd.Series([[place[w] for w in hits(words_of(t), place, lengths)] for t in s]), "array<int>")
+    toxic = sample.filter("label = 1").select(fire("text").alias("fired")).toPandas()["fired"]
+    names = list(place)
+    taken = chosen_voters([list(f) for f in toxic], len(lexicon))
+    final = {w: i for i, w in enumerate([*lexicon, *[names[i] for i in taken]])}
+    ends = stems_of(final)
+    fire = F.pandas_udf(lambda s: pd.Series([votes(t, final, ends) for t in s]), "array<int>")
     got = sample.select("label_id", "label", fire("text").alias("fired")).toPandas().sort_values(["label_id", "label"], kind="stable")
-    return trained(place, [list(f) for f in got["fired"]], got["label"].to_numpy())
+    return trained(final, [list(f) for f in got["fired"]], got["label"].to_numpy())
 
 
 def score(model: Voters, text: Column) -> Column:
-    return F.pandas_udf(lambda s: pd.Series(model.score([votes(t, model.place) for t in s])), "double")(text)
+    lengths = stems_of(model.place)
+    return F.pandas_udf(lambda s: pd.Series(model.score([votes(t, model.place, lengths) for t in s])), "double")(text)
 
 
 def learnable(folds: int = 3, held: int = 1) -> Column:
