@@ -182,15 +182,17 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     return out.select(id_or_null("id").alias(id_col), "item_id", "item_words", "distance", "end_word")
 
 
+def _holds(block: Block):
+    def run(texts: pd.Series) -> pd.Series:
+        marks = np.zeros(len(texts), bool)
+        marks[[f[0] for f in block.matches(texts.tolist())]] = True
+        return pd.Series(marks)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def clean_of(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     for block in blocks(items, item_col, item_text_col, rate):
-
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, block=block) -> pd.Series:
-            marks = np.zeros(len(texts), bool)
-            marks[[f[0] for f in block.matches(texts.tolist())]] = True
-            return pd.Series(marks)
-
-        docs = docs.filter(~holds(named(text_col)))
+        docs = docs.filter(~_holds(block)(named(text_col)))
     return docs
