@@ -186,6 +186,30 @@ def best_model(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
+def model_forecasts(series: DataFrame, horizon: int = 12, alpha: float = 0.3, keys: list[str] = KEYS) -> DataFrame:
+    """The next months by each of the three closed-form models, fitted to the whole series."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))
+    fit = trend_fit(series, keys)
+    level = series.groupBy(*keys).agg(smoothed_level(alpha).alias("level"), month_means().alias("means"))
+    rows = fit.join(level, keys).withColumn("step", steps).withColumn("month", F.add_months("last_month", F.col("step") + 1))
+    models = F.explode(
+        F.create_map(
+            F.lit("trend_seasonal"), trend_value(F.col("step")),
+            F.lit("smoothing"), F.col("level"),
+            F.lit("seasonal_mean"), F.get("means", F.month("month") - 1),
+        )
+    )
+    return rows.select(*keys, "step", "month", models.alias("model", "value")).select(
+        *keys, "model", "step", "month", F.round("value", 6).alias("predicted")
+    )
+
+
+def winning_forecast(series: DataFrame, best: DataFrame, horizon: int = 12, keys: list[str] = KEYS) -> DataFrame:
+    """The next months by the model that won the series' hold-out."""
+    own = best.select(*keys, F.col("best_model").alias("model"))
+    return model_forecasts(series, horizon, keys=keys).join(own, [*keys, "model"]).select(*keys, "model", "step", "month", "predicted")
+
+
 def zero_holdouts(series: DataFrame, holdout: int = 12, keys: list[str] = KEYS) -> DataFrame:
     return holdout_rows(series, holdout).groupBy(*keys).agg((F.sum("n") == 0).cast("int").alias("test_zeros"))
 

@@ -182,6 +182,7 @@ def comparison_text(fit: DataFrame, best: DataFrame, scores: DataFrame, directio
     months of the winning model, ``totals`` the total and the first and last month.
     """
     names = F.array(*[F.lit(m) for m in MONTHS])
+    month_at = lambda i: ((F.month("first") - 1 + i) % 12 + 1).cast("int")  # noqa: E731  of a season's place
     base = scores.filter(F.col("model") == baseline).select(*keys, F.col("mae").alias("base_mae"))
     ahead = outlook.filter(F.col("step") < 12).groupBy(*keys).agg(
         ordered_text(F.col("step"), say("%s=%s", F.date_format("month", "MMM yyyy"), fixed(F.col("predicted"), 1)), ", ").alias("outlook")
@@ -191,7 +192,7 @@ def comparison_text(fit: DataFrame, best: DataFrame, scores: DataFrame, directio
     years = F.floor(F.months_between("last", "first") / 12).cast("int")
     top = F.slice(F.array_sort(F.transform("season", lambda x, i: F.struct((-x).alias("neg"), (-i).alias("i")))), 1, 3)
     months = F.transform(
-        "season", lambda x, i: say(T.COMPARISON_MONTH, F.element_at(names, i + 1), risk_word(x), fixed(x, 2))
+        "season", lambda x, i: say(T.COMPARISON_MONTH, F.element_at(names, month_at(i)), risk_word(x), fixed(x, 2))
     )
     label = F.replace("event_type", F.lit("_"), F.lit(" "))
     text = F.concat_ws(
@@ -201,7 +202,7 @@ def comparison_text(fit: DataFrame, best: DataFrame, scores: DataFrame, directio
             say(T.COMPARISON_TITLE, "state", label, year_span(F.col("first"), F.col("last"))),
             say(T.COMPARISON_KEYS, "state", label),
             say(T.COMPARISON_TOTAL, "total", years, fixed(F.col("total") / years, 1), "direction"),
-            say(T.COMPARISON_PEAKS, F.array_join(F.transform(top, lambda p: F.element_at(names, 1 - p["i"])), ", ")),
+            say(T.COMPARISON_PEAKS, F.array_join(F.transform(top, lambda p: F.element_at(names, month_at(-p["i"]))), ", ")),
         ),
         F.concat_ws("\n", F.lit(T.COMPARISON_PATTERN), F.array_join(months, "\n")),
         F.concat_ws(

@@ -111,19 +111,27 @@ def dataset_summary(df: DataFrame, time: str, distinct: list[str]) -> DataFrame:
     )
 
 
-def calendar_fill(monthly: DataFrame, start: str | None = None, end: str | None = None, keys: list[str] = KEYS) -> DataFrame:
+def calendar_span(monthly: DataFrame) -> tuple[Column, Column]:
+    """First and last counted month over all series, as scalar subqueries."""
+    return monthly.select(F.min("month")).scalar(), monthly.select(F.max("month")).scalar()
+
+
+def calendar_fill(monthly: DataFrame, start: Column | str | None = None, end: Column | str | None = None, keys: list[str] = KEYS) -> DataFrame:
     """Every month of the calendar per series, 0 where nothing was counted.
 
-    With no calendar given, each series runs from its first to its last month. One
-    grouping by series carries the counts as a map (at most one entry per month),
-    so the output stays partitioned by series and later groupings need no shuffle.
+    With no calendar given, each series runs from its first to its last month; with
+    ``calendar_span`` all series share the span of the data, its last month included
+    even where it is not over. A span of the caller's own leaves out what lies beyond
+    it; give such months neither to this function nor to the totals beside it. One
+    grouping by series carries the counts as a map (at most one entry per month), so
+    the output stays partitioned by series and later groupings need no shuffle.
     """
-    lo = F.to_date(F.lit(start)) if start else F.min("month")
-    hi = F.to_date(F.lit(end)) if end else F.max("month")
     wide = monthly.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("counts"), lo.alias("lo"), hi.alias("hi")
+        F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("counts"), F.min("month").alias("lo"), F.max("month").alias("hi")
     )
-    months = F.sequence("lo", "hi", F.make_ym_interval(F.lit(0), F.lit(1)))
+    lo = F.col("lo") if start is None else F.to_date(F.lit(start))
+    hi = F.col("hi") if end is None else F.to_date(F.lit(end))
+    months = F.sequence(lo, hi, F.make_ym_interval(F.lit(0), F.lit(1)))
     return wide.select(*keys, "counts", F.size(months).alias("months"), F.posexplode(months).alias("t", "month")).select(
         *keys, "months", "t", "month", F.coalesce(F.try_element_at("counts", F.col("month")), F.lit(0)).alias("n")
     )

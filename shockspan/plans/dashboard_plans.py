@@ -127,6 +127,9 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+RECORD = "(SELECT year(first) || '–' || year(last) FROM calendar)"
+AHEAD_YEARS = "(SELECT year(min(month)) || '–' || year(max(month)) FROM ahead_out)"
+LAST_MONTH = "(SELECT strftime(max(month), '%B %Y') FROM ahead_out)"
 LABEL = "array_to_string(list_transform(string_split(replace({c}, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 
@@ -172,15 +175,15 @@ def _(t):
 view("forecast_texts", f"""
   SELECT state, event_type,
          printf({quoted(T.FORECAST_TITLE)}, {label('event_type')}, state) || chr(10)
-         || printf({quoted(T.FORECAST_HISTORY)}, total_historical, state, '1995–2001', (train_months // 12)::INT) || chr(10)
+         || printf({quoted(T.FORECAST_HISTORY)}, total_historical, state, {RECORD}, (train_months // 12)::INT) || chr(10)
          || printf({quoted(T.FORECAST_PEAKS)}, array_to_string(peak_months, ', ')) || chr(10)
          || printf({quoted(T.FORECAST_WINDOW)}, peak_months[1] || '–' || peak_months[3]) || chr(10)
-         || printf({quoted(T.FORECAST_AHEAD)}, '2001–2007', {num('avg_next_12', 1)}) || chr(10)
+         || printf({quoted(T.FORECAST_AHEAD)}, {AHEAD_YEARS}, {num('avg_next_12', 1)}) || chr(10)
          || printf({quoted(T.FORECAST_TOP)}, strftime(month, '%Y-%m'), {num('predicted', 1)}, {num('upper', 1)}) || chr(10)
-         || printf({quoted(T.FORECAST_ACCURACY)}, {num('cv_mae', 2)}, '1995–2001') AS forecast_text
+         || printf({quoted(T.FORECAST_ACCURACY)}, {num('cv_mae', 2)}, {RECORD}) AS forecast_text
   FROM forecast_table JOIN (SELECT state, event_type, month, predicted, upper,
                                    row_number() OVER (PARTITION BY state, event_type ORDER BY predicted DESC, month) AS r
-                            FROM ahead_out WHERE step < 12) USING (state, event_type) WHERE r = 1""", "forecast_table", "ahead_out")
+                            FROM ahead_out WHERE step < 12) USING (state, event_type) WHERE r = 1""", "forecast_table", "ahead_out", "calendar")
 
 
 def forecast_blocks(t):
@@ -198,11 +201,11 @@ view("seasonal_texts", f"""
   SELECT 'forecast_' || state || '_' || replace(event_type, ' ', '_') AS id, state, event_type,
          array_to_string([
            printf({quoted(T.PROFILE_TITLE)}, state, event_type),
-           printf({quoted(T.PROFILE_PAST)}, state, format('{{:,}}', total_historical), lower(event_type), '1995–2001',
+           printf({quoted(T.PROFILE_PAST)}, state, format('{{:,}}', total_historical), lower(event_type), {RECORD},
                   round_even(train_months / 12, 0)::INT, {num('active', 1)},
                   'Activity peaks in ' || peak_months[1] || ', ' || peak_months[2] || ', and ' || peak_months[3], {WINDOW}),
            printf({quoted(T.PROFILE_FORECAST_HEADING)}, {num('cv_mae', 2)}) || chr(10)
-             || printf({quoted(T.PROFILE_FORECAST)}, lower(event_type), state, 'July 2007', array_to_string(peak_months, ', '),
+             || printf({quoted(T.PROFILE_FORECAST)}, lower(event_type), state, {LAST_MONTH}, array_to_string(peak_months, ', '),
                        {num('avg_peak', 1)}, {num('avg_off', 1)}),
            {quoted(T.PROFILE_WORKFORCE_HEADING)} || chr(10)
              || printf({quoted(T.PROFILE_WORKFORCE)}, lower(event_type), state, {quoted(T.INDUSTRIES_DEFAULT)}, state, {WINDOW}),
@@ -214,7 +217,7 @@ view("seasonal_texts", f"""
   JOIN (SELECT state, event_type, round(coalesce(avg(predicted) FILTER (WHERE list_contains(peak_months, monthname(month))), 0), 4) AS avg_peak,
                round(coalesce(avg(predicted) FILTER (WHERE NOT list_contains(peak_months, monthname(month))), 0), 4) AS avg_off
         FROM ahead_out JOIN peaks USING (state, event_type) GROUP BY state, event_type) USING (state, event_type)""",
-     "forecast_table", "filled", "ahead_out", "peaks")
+     "forecast_table", "filled", "ahead_out", "peaks", "calendar")
 
 
 def seasonal_profiles(t):
@@ -229,9 +232,9 @@ def _(t):
 
 @query("comparison_text", f"""
   SELECT b.state, b.event_type, array_to_string([
-      printf({quoted(T.COMPARISON_TITLE)}, b.state, b.event_type, '1995–2001') || chr(10)
+      printf({quoted(T.COMPARISON_TITLE)}, b.state, b.event_type, {RECORD}) || chr(10)
         || printf({quoted(T.COMPARISON_KEYS)}, b.state, b.event_type) || chr(10)
-        || printf({quoted(T.COMPARISON_TOTAL)}, total, 6, {num('total / 6', 1)},
+        || printf({quoted(T.COMPARISON_TOTAL)}, total, (SELECT years FROM calendar)::INT, {num('total / (SELECT years FROM calendar)', 1)},
                   CASE WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' ELSE 'stable' END) || chr(10)
         || printf({quoted(T.COMPARISON_PEAKS)}, peaks),
       {quoted(T.COMPARISON_PATTERN)} || chr(10) || pattern,
@@ -242,18 +245,19 @@ def _(t):
   JOIN (SELECT state, event_type, slope FROM full_line) USING (state, event_type)
   JOIN (SELECT state, event_type, sum(n)::BIGINT AS total FROM filled GROUP BY ALL) USING (state, event_type)
   JOIN (SELECT state, event_type, string_agg(strftime(month, '%b %Y') || '=' || {num('predicted', 1)}, ', ' ORDER BY step) AS outlook
-        FROM ahead_out WHERE step < 12 GROUP BY ALL) USING (state, event_type)
-  JOIN (SELECT state, event_type, array_to_string(list(monthname(make_date(2000, position + 1, 1)) ORDER BY idx DESC, position DESC)[1:3], ', ') AS peaks,
-               string_agg(printf({quoted(T.COMPARISON_MONTH)}, monthname(make_date(2000, position + 1, 1)),
+        FROM winning GROUP BY ALL) USING (state, event_type)
+  JOIN (SELECT state, event_type, array_to_string(list(monthname(make_date(2000, m, 1)) ORDER BY idx DESC, position DESC)[1:3], ', ') AS peaks,
+               string_agg(printf({quoted(T.COMPARISON_MONTH)}, monthname(make_date(2000, m, 1)),
                  CASE WHEN idx >= 2 THEN 'HIGH' WHEN idx >= 1 THEN 'moderate' WHEN idx >= 0.5 THEN 'low' ELSE 'minimal' END, {num('idx', 2)}),
                  chr(10) ORDER BY position) AS pattern
-        FROM (SELECT state, event_type, position::INT AS position, idx FROM train_season) GROUP BY ALL) USING (state, event_type)""",
-       "best", "scores", "full_line", "filled", "ahead_out", "train_season")
+        FROM (SELECT state, event_type, position::INT AS position, ((position + month(first) - 1) % 12 + 1)::INT AS m, idx FROM train_season, calendar)
+        GROUP BY ALL) USING (state, event_type)""",
+       "best", "scores", "full_line", "filled", "winning", "train_season", "calendar")
 def _(t):
     f = SP.filled(t)
     scores = P.model_scores(f)
     totals = f.groupBy(*KEYS).agg(F.sum("n").alias("total"), F.min("month").alias("first"), F.max("month").alias("last"))
-    return N.comparison_text(P.trend_fit(P.training(f)), P.best_model(scores), scores, P.trend_direction(f), SP.ahead(t), totals, "trend_seasonal")
+    return N.comparison_text(P.trend_fit(P.training(f)), P.best_model(scores), scores, P.trend_direction(f), P.winning_forecast(f, P.best_model(scores)), totals, "trend_seasonal")
 
 
 view("ranked", """

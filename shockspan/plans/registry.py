@@ -22,7 +22,7 @@ DATES = {
     **dict.fromkeys(
         [
             "monthly_counts", "calendar_fill", "calendar_fill_own_span", "combo_series", "trend_seasonal_forecast", "exp_smoothing",
-            "seasonal_mean_forecast", "chart_series", "slider_table", "log_floor", "write_table",
+            "seasonal_mean_forecast", "model_forecasts", "winning_forecast", "chart_series", "slider_table", "log_floor", "write_table",
         ],
         MONTH,
     ),

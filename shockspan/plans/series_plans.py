@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from shockspan.operators import forecast as P
 from shockspan.operators import series as S
 from shockspan.plans.registry import query, view
-from shockspan.sources.tables import CALENDAR
 
 view("monthly", """
   SELECT state, event_type, date_trunc('month', begin_on)::DATE AS month, count(*) AS n
@@ -19,12 +18,13 @@ view("stats", """
 view("chosen", """
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY total DESC, event_type)::INT AS state_rank
                  FROM stats WHERE total >= 110 AND months_with_data >= 60) WHERE state_rank <= 3""", "stats")
-view("filled", f"""
+view("calendar", "SELECT min(month) AS first, max(month) AS last, date_diff('month', min(month), max(month)) // 12 AS years FROM monthly", "monthly")
+view("filled", """
   SELECT k.state, k.event_type, c.t, c.month, coalesce(m.n, 0) AS n, c.months
   FROM (SELECT DISTINCT state, event_type FROM monthly) k
   CROSS JOIN (SELECT m::DATE AS month, (row_number() OVER (ORDER BY m) - 1)::INT AS t, (count(*) OVER ())::INT AS months
-              FROM generate_series(DATE '{CALENDAR[0]}', DATE '{CALENDAR[1]}', INTERVAL 1 MONTH) g(m)) c
-  LEFT JOIN monthly m ON m.state = k.state AND m.event_type = k.event_type AND m.month = c.month""", "monthly")
+              FROM (SELECT unnest(generate_series(first, last, INTERVAL 1 MONTH)) AS m FROM calendar)) c
+  LEFT JOIN monthly m ON m.state = k.state AND m.event_type = k.event_type AND m.month = c.month""", "monthly", "calendar")
 view("spanned", """
   SELECT k.state, k.event_type, k.month, coalesce(m.n, 0) AS n
   FROM (SELECT state, event_type, unnest(generate_series(lo, hi, INTERVAL 1 MONTH))::DATE AS month
@@ -92,6 +92,20 @@ view("scores", """
 view("best", """
   SELECT state, event_type, arg_min(model, mae * 10 + priority * 0.001) AS best_model, min(mae) AS best_mae
   FROM scores GROUP BY ALL""", "scores")
+view("outlooks", """
+  SELECT state, event_type, 'trend_seasonal' AS model, step, month, round(value, 6) AS predicted FROM ahead WHERE step < 12
+  UNION ALL
+  SELECT state, event_type, 'smoothing', step::INT, (last + to_months((step + 1)::INT))::DATE, round(level, 6)
+  FROM (SELECT state, event_type, max(month) AS last,
+               list_reduce(list(n::DOUBLE ORDER BY t), lambda s, y: 0.3 * y + 0.7 * s, max(CASE WHEN t = 0 THEN n::DOUBLE END)) AS level
+        FROM filled GROUP BY ALL) CROSS JOIN (SELECT unnest(range(12)) AS step)
+  UNION ALL
+  SELECT a.state, a.event_type, 'seasonal_mean', a.step, a.month, round(s.mean, 6)
+  FROM (SELECT DISTINCT state, event_type, step, month FROM ahead WHERE step < 12) a
+  JOIN (SELECT state, event_type, month(month) AS m, avg(n) AS mean FROM filled GROUP BY ALL) s
+    ON s.state = a.state AND s.event_type = a.event_type AND s.m = month(a.month)""", "ahead", "filled")
+view("winning", """
+  SELECT o.* FROM outlooks o JOIN best b ON o.state = b.state AND o.event_type = b.event_type AND o.model = b.best_model""", "outlooks", "best")
 view("forecast_table", """
   SELECT state, event_type, total_historical, peak_months, avg_next_12, mae AS cv_mae, rmse AS cv_rmse,
          train_months, 72 AS forecast_horizon
@@ -115,7 +129,8 @@ def chosen(t):
 
 
 def filled(t):
-    return t.stage("filled", lambda: S.calendar_fill(monthly(t), *CALENDAR))
+    counts = t.stage("monthly", lambda: monthly(t))
+    return t.stage("filled", lambda: S.calendar_fill(counts, *S.calendar_span(counts)))
 
 
 def spanned(t):
@@ -358,6 +373,17 @@ def _(t):
     return P.leaderboard(scores, P.best_model(scores), P.zero_holdouts(f))
 
 
+@query("model_forecasts", "SELECT * FROM outlooks", "outlooks")
+def _(t):
+    return P.model_forecasts(filled(t))
+
+
+@query("winning_forecast", "SELECT * FROM winning", "winning")
+def _(t):
+    f = filled(t)
+    return P.winning_forecast(f, P.best_model(P.model_scores(f)))
+
+
 @query("annual_forecast", """
   SELECT state, event_type, round(avg(predicted) * 12, 6) AS annual_forecast FROM ahead_out WHERE step < 12 GROUP BY ALL""",
        "ahead_out")

@@ -20,7 +20,6 @@ from shockspan.session import stored
 # Segment codes in alphabetical order; 000 plays the statewide row.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 MAJOR = "F"
-CALENDAR = ("1995-01-01", "2001-07-01")
 
 
 class Tables:
