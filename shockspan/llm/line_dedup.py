@@ -71,7 +71,8 @@ def _reassembled(min_chars: int):
             gone = np.stack([h1, h2], 1).astype("<i8").tobytes()
             gone = {gone[i : i + 16] for i in range(0, len(gone), 16)}
             kept = [line for line in lines if _digest(line, min_chars) not in gone]
-            out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
+            dropped = len(lines) - len(kept)
+            out.append((len(lines), dropped, "\n".join(kept) if dropped else text))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
 
     return run
