@@ -67,7 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for batch in slices(whole):
             prints = pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), prints], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), prints], names=["id", "th", "fp"])
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -145,30 +145,35 @@ def near_links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links.union(met)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
-    prints = stored(packed(docs, id_col, text_col).select("id", "text").mapInArrow(_fingerprints, "id long, fp long"), "fingerprints")
+def _classified(docs: DataFrame, id_col: str, text_col: str, crowd: int) -> DataFrame:
+    """id, th (a hash of the text), fp and component, the least id of the component, of every row."""
+    base = packed(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("th"))
+    prints = stored(base.mapInArrow(_fingerprints, "id long, th long, fp long"), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     root = roots(near_links(classes, crowd))
     rooted = classes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     heads = stored(rooted.groupBy("root").agg(F.min("first").alias("component")), "heads")
     of = stored(rooted.join(heads, "root").select("fp", "component"), "component-of")
-    return prints.join(of, "fp").select(
+    return prints.join(of, "fp")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
+    return _classified(docs, id_col, text_col, crowd).select(
         id_or_null("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         id_or_null("component").alias("component_id"),
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component, all columns.
 
-    Of rows equal in id and text one stays; rows of one id with other texts all stay.
+    Of rows equal in id and text one stays; rows of that id with other texts all stay.
     """
-    found = components(docs, id_col, text_col)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(id_col, F.lit(NO_ID)).alias("id")).distinct()
-    rows = packed(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")).drop("text")
-    rows = rows.join(stored(kept, "kept"), "id", "left_semi")
-    rows = rows.groupBy("id", "hash").agg(F.any_value("row").alias("row"))
+    kept = _classified(docs, id_col, text_col, crowd).filter("id = component").select("id", "th").distinct()
+    rows = packed(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).drop("text")
+    rows = rows.join(stored(kept, "kept"), ["id", "th"], "left_semi")
+    rows = rows.groupBy("id", "th").agg(F.any_value("row").alias("row"))
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
