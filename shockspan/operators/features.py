@@ -18,30 +18,33 @@ LOOKBACK_YEARS = 2
 
 
 def onehot(df: DataFrame, column: str, values: list[str], prefix: str) -> DataFrame:
-    """Indicator columns, one per value; the values are the caller's short list."""
-    return df.select("*", *[(F.col(column) == v).cast("int").alias(f"{prefix}_{v}") for v in values])
+    """Indicator columns, one per value of the caller's dimension; null is none of them.
 
-
-def category_values(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """Values of a categorical column; refuses a column too wide to be one."""
-    rows = df.select(column).distinct().orderBy(column).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{column} has more than {most} values")
-    return [r[0] for r in rows]
+    An open vocabulary has no such list: join ``category_code`` to it instead.
+    """
+    return df.select("*", *[F.col(column).eqNullSafe(F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in values])
 
 
-def category_code(df: DataFrame, column: str, code: str) -> DataFrame:
-    """Value -> 0-based code in alphabetical order.
+def ranked(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """0-based places of all rows in a total order, without a task that sees them all.
 
-    Only the distinct values are numbered. They are numbered inside groups of the
-    same first letters, and the groups' sizes are summed up before them.
+    Rows are dealt out by ranges of the order and numbered inside their range; the
+    sizes of the ranges before are added. The dealt-out rows are stored, so range
+    borders are drawn once.
     """
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_head", F.substring(column, 1, 3))
-    sizes = values.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_head").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("_head", F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_head").orderBy(column)) - 1
-    return values.withColumn("_i", inside).join(starts, "_head").select(column, (F.col("_start") + F.col("_i")).cast("int").alias(code))
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    rows = dealt.withColumn("_i", inside).join(starts, "_range")
+    return rows.withColumn(out, F.col("_start") + F.col("_i")).drop("_range", "_i", "_start")
+
+
+def category_code(df: DataFrame, column: str, code: str) -> DataFrame:
+    """Value -> 0-based code in alphabetical order, of the distinct values."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return ranked(values, [F.col(column)], code).select(column, F.col(code).cast("int").alias(code))
 
 
 def temporal_columns(time: Column) -> list[Column]:
@@ -150,13 +153,13 @@ def scale_features(facts: DataFrame) -> DataFrame:
 def with_group_stats(facts: DataFrame, key: str | list[str], stats: dict[str, Column]) -> DataFrame:
     """Join grouped aggregates back to the rows.
 
-    Grouping combines map-side, and the stored groups have a known size: as long as
+    A row with a null key stays, without statistics. Grouping combines map-side, and the stored groups have a known size: as long as
     that is below the broadcast threshold, the rows stay where they are instead of
     meeting in one task per value.
     """
     keys = [key] if isinstance(key, str) else key
     groups = stored(facts.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), "groups")
-    return facts.join(groups, keys)
+    return facts.join(groups, keys, "left")
 
 
 def target_mean(facts: DataFrame, column: str, out: str, target: str = "excess_exits", fold: str | None = None) -> DataFrame:
@@ -169,14 +172,14 @@ def target_mean(facts: DataFrame, column: str, out: str, target: str = "excess_e
         column, fold,
         F.when(F.col("_wc") > F.col("_c"), (F.col("_ws") - F.col("_s")) / (F.col("_wc") - F.col("_c"))).alias(out),
     )
-    return facts.join(stored(others, "folds"), [column, fold])
+    return facts.join(stored(others, "folds"), [column, fold], "left")
 
 
 def frequency_encode(facts: DataFrame) -> DataFrame:
     """Rows per industry and distinct events per state."""
     rows = with_group_stats(facts, "industry", {"industry_frequency": F.count(F.lit(1))})
     events = facts.select("state", "event_id").distinct().groupBy("state").agg(F.count(F.lit(1)).alias("state_shock_frequency"))
-    return rows.join(stored(events, "events"), "state")
+    return rows.join(stored(events, "events"), "state", "left")
 
 
 def peak_columns(prefix: str = "exits_month_", months: int = 6) -> list[Column]:
@@ -233,7 +236,7 @@ def type_sector_displacement(facts: DataFrame) -> DataFrame:
     """Mean excess per event type and sector, rows per sector, and the type's code."""
     rows = with_group_stats(facts, ["event_type", "sector"], {"type_sector_avg_displacement": F.avg("excess_exits")})
     rows = with_group_stats(rows, "sector", {"sector_frequency": F.count(F.lit(1))})
-    return rows.join(stored(category_code(facts, "event_type", "type_code"), "codes"), "event_type")
+    return rows.join(stored(category_code(facts, "event_type", "type_code"), "codes"), "event_type", "left")
 
 
 def feature_profile(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -272,16 +275,35 @@ def fact_dimensions(facts: DataFrame) -> DataFrame:
     per_sector = cells.groupBy("sector").agg(mean.alias("sector_vulnerability"), rows.alias("sector_frequency"))
     per_type = cells.groupBy("event_type", "sector").agg(mean.alias("type_sector_avg_displacement"))
     events = facts.select("state", "event_id").distinct().groupBy("state").agg(F.count(F.lit(1)).alias("state_shock_frequency"))
-    out = cells.drop("_sum", "_count").join(per_industry, "industry").join(per_sector, "sector")
-    out = out.join(per_type, ["event_type", "sector"]).join(events, "state")
+    out = cells.drop("_sum", "_count").join(per_industry, "industry", "left").join(per_sector, "sector", "left")
+    out = out.join(per_type, ["event_type", "sector"], "left").join(events, "state", "left")
     for column, code in (("industry", "industry_code"), ("sector", "sector_code"), ("event_type", "type_code"), ("state", "state_code")):
-        out = out.join(category_code(cells, column, code), column)
+        out = out.join(category_code(cells, column, code), column, "left")
     return out
 
 
-def feature_matrix(impact: DataFrame, shocks: DataFrame, exits: DataFrame, mapping: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def joined_null_safe(rows: DataFrame, dims: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a null key equals a null key."""
+    other = dims.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(other, same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def feature_matrix(
+    impact: DataFrame,
+    shocks: DataFrame,
+    exits: DataFrame,
+    mapping: DataFrame,
+    history: DataFrame | None = None,
+    types: list[str] = (),
+    sectors: list[str] = (),
+) -> DataFrame:
     """All features of an industry fact, one wide row each.
 
+    ``types`` and ``sectors`` are the dimensions' values; each gets an indicator
+    column. A fact with a null type, sector, state or industry stays, without the
+    statistics of that column.
+
     ``impact`` should be a stored stage, since it is read for the facts, the group
     statistics and the medians. What joins to the facts (features per shock, per
     place and month, per place, per dimension) is stored first: its true size is
@@ -299,10 +321,11 @@ def feature_matrix(impact: DataFrame, shocks: DataFrame, exits: DataFrame, mappi
     per_month = stored(months_ahead(exits), "per-month")
     dims = stored(fact_dimensions(facts), "dimensions")
 
-    rows = facts.join(per_shock, EVENT).join(dims, ["industry", "sector", "event_type", "state"])
+    rows = joined_null_safe(facts.join(per_shock, EVENT, "left"), dims, ["industry", "sector", "event_type", "state"])
     rows = with_months(rows.join(per_place, ["county_id", "sector"], "left"), per_month)
     rows = rows.select("*", *peak_columns(), *scale_columns(median(impact, "baseline_exits")))
-    return rows.select("*", *interaction_columns())
+    rows = rows.select("*", *interaction_columns())
+    return onehot(onehot(rows, "event_type", list(types), "type"), "sector", list(sectors), "sector")
 
 
 METADATA = ["event_id", "event_type", "title", "county_id", "state", "area", "begin_on", "end_on", "industry", "sector"]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockspan.operators.forecast import holdout_rows, score, training, trend_fit, trend_value
+from shockspan.operators.forecast import Z95, holdout_rows, score, training, trend_fit, trend_value
 from shockspan.operators.series import KEYS
 
 Fit = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray] | None]
@@ -136,10 +136,15 @@ def fitted_forecast(series: DataFrame, model: str, horizon: int = 72, refit: boo
 
 
 def compare_models(series: DataFrame, holdout: int = 12, horizon: int = 72, keys: list[str] = KEYS) -> DataFrame:
-    """One row per series: errors of the three models, the winner, and its forecast.
+    """One row per series: errors of the three models, the winner, and its forecast with its band.
 
     The fits run once; their rows feed both the errors and the winner's forecast.
     """
+    def band(step, *values):
+        names = ("predicted", "lower", "upper")
+        return F.struct(step.cast("int").alias("step"), *[F.round(v, 2).alias(n) for v, n in zip(values, names, strict=True)])
+
+    half = Z95 * F.col("sigma")
     train = training(series, holdout)
     line = trend_fit(train, keys)
     tests = holdout_rows(series, holdout)
@@ -147,16 +152,16 @@ def compare_models(series: DataFrame, holdout: int = 12, horizon: int = 72, keys
     base = score(base, keys).withColumn("model", F.lit("baseline"))
     steps = F.explode(F.sequence(F.lit(holdout), F.lit(holdout + horizon - 1)))
     base_ahead = line.withColumn("step", steps).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct((F.col("step") - holdout).alias("step"), F.round(trend_value(F.col("step")), 2).alias("predicted")))).alias("ahead")
+        F.array_sort(F.collect_list(band(F.col("step") - holdout, trend_value(F.col("step")), F.greatest(F.lit(0.0), trend_value(F.col("step")) - half), trend_value(F.col("step")) + half))).alias("ahead")
     )
     rows = fitted(series, ["negbin", "additive"], holdout, horizon, keys=keys)
     gap = F.when(F.col("part") == "test", F.col("n") - F.col("predicted"))
     fits = rows.groupBy(*keys, "model").agg(
         F.round(F.avg(F.abs(gap)), 3).alias("mae"),
         F.round(F.sqrt(F.avg(gap * gap)), 3).alias("rmse"),
-        F.array_sort(F.collect_list(F.when(F.col("part") == "ahead", F.struct("t", F.round("predicted", 2).alias("predicted"))))).alias("ahead"),
+        F.array_sort(F.collect_list(F.when(F.col("part") == "ahead", band(F.col("t"), F.col("predicted"), F.col("lower"), F.col("upper"))))).alias("ahead"),
     )
-    fits = fits.withColumn("ahead", F.transform("ahead", lambda r, i: F.struct(i.alias("step"), r["predicted"].alias("predicted"))))
+    fits = fits.withColumn("ahead", F.transform("ahead", lambda r, i: F.struct(i.alias("step"), r["predicted"].alias("predicted"), r["lower"].alias("lower"), r["upper"].alias("upper"))))
     every = base.join(base_ahead, keys).select(*keys, "model", "mae", "rmse", "ahead").unionByName(fits)
     order = F.when(F.col("model") == "baseline", 0).when(F.col("model") == "negbin", 1).otherwise(2)
     pick = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{m}_{c}")

@@ -74,18 +74,8 @@ def edge(months: int, years: int = 0):
     return lambda at: shift(at, months, -years)
 
 
-def window_impact(
-    shocks: DataFrame,
-    exits: DataFrame,
-    industry: str = "industry",
-    carry: tuple[str, ...] = ("event_type", "title", "area", "state"),
-) -> DataFrame:
-    """Exits after each shock, by industry and half-year window, against baselines.
-
-    Three windows of six months follow the shock; each is compared with the mean
-    of the same window two and three years earlier. A row appears for each industry
-    seen in any of the three ranges of its window.
-    """
+def impact_counts(shocks: DataFrame, exits: DataFrame, industry: str = "industry", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per shock, place and industry with the counts of all windows side by side."""
     ranges = {}
     for n, start, end in WINDOWS:
         ranges[f"post_{n}"] = (edge(start), edge(end))
@@ -101,6 +91,28 @@ def window_impact(
         ranges=ranges,
         reach=(36, 18),
     )
+    some = sum((F.col(c) for c in ranges), F.lit(0)) > 0
+    places = dedup_shocks(shocks.select("event_id", "county_id", "begin_on", *carry))
+    return places.join(counts.filter(some), ["county_id", "begin_on"])
+
+
+def impact_keys(shocks: DataFrame, exits: DataFrame, industry: str = "industry") -> DataFrame:
+    """The shocks, places and industries of ``window_impact``, before windows are spread."""
+    return impact_counts(shocks, exits, industry).select("event_id", "county_id", "begin_on", "industry")
+
+
+def window_impact(
+    shocks: DataFrame,
+    exits: DataFrame,
+    industry: str = "industry",
+    carry: tuple[str, ...] = ("event_type", "title", "area", "state"),
+) -> DataFrame:
+    """Exits after each shock, by industry and half-year window, against baselines.
+
+    Three windows of six months follow the shock; each is compared with the mean
+    of the same window two and three years earlier. A row appears for each industry
+    seen in any of the three ranges of its window.
+    """
     spread = F.explode(
         F.array(
             *[
@@ -114,8 +126,7 @@ def window_impact(
             ]
         )
     )
-    places = dedup_shocks(shocks.select("event_id", "county_id", "begin_on", *carry))
-    joined = places.join(counts, ["county_id", "begin_on"])  # before the windows are spread: a third of the rows
+    joined = impact_counts(shocks, exits, industry, carry)  # before the windows are spread: a third of the rows
     facts = joined.select("event_id", "county_id", "begin_on", *carry, "industry", spread.alias("w"))
     facts = facts.select("event_id", "county_id", "begin_on", *carry, "industry", "w.*")
     return with_excess(facts.filter(F.col("post_exits") + F.col("baseline_yr2_exits") + F.col("baseline_yr3_exits") > 0))
@@ -151,10 +162,9 @@ def months_ahead(exits: DataFrame, group: str = "industry", months: int = 6) ->
     )
 
 
-def exits_by_month_offset(impact: DataFrame, exits: DataFrame, months: int = 6) -> DataFrame:
-    """Exits of a shock's industry by calendar month after the shock."""
-    keys = ["event_id", "county_id", "begin_on", "industry"]
-    return with_months(impact.select(*keys).distinct(), months_ahead(exits, "industry", months), months)
+def exits_by_month_offset(keys: DataFrame, exits: DataFrame, months: int = 6) -> DataFrame:
+    """Exits of a shock's industry by calendar month after the shock; ``keys`` as of ``impact_keys``."""
+    return with_months(keys, months_ahead(exits, "industry", months), months)
 
 
 def with_months(rows: DataFrame, ahead: DataFrame, months: int = 6) -> DataFrame:

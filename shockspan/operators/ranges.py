@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shockspan.functions.columns import shift
+from shockspan.session import stored
 
 CELLS_PER_TASK = 250_000
 
@@ -52,6 +53,8 @@ def range_sums(
     total = F.count(F.lit(1)).alias("_n")
 
     cells = points.filter(F.col(point_time).isNotNull()).groupBy(*key, F.col(point_time).alias("_at")).agg(total)
+    if within or not day_grain:
+        cells = stored(cells, "cells")  # read twice below; the points themselves once
     placed = cells.withColumn(
         "_slot",
         F.explode(

@@ -100,15 +100,22 @@ def calendar_profile(df: DataFrame, time: str = "begin_on") -> DataFrame:
 
 
 def dataset_summary(df: DataFrame, time: str, distinct: list[str]) -> DataFrame:
-    """Row count, time span, distinct values of the named columns, nulls per column."""
-    return df.agg(
+    """Row count, time span, distinct values of the named columns, nulls per column.
+
+    Each distinct count is one over its own column's values, which combine before the
+    shuffle; together in one aggregate they would multiply every row.
+    """
+    values = {c: df.select(c).distinct().select(F.count(c)).scalar() for c in distinct}
+    whole = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(time).alias("first_time"),
         F.max(time).alias("last_time"),
         (F.max(F.year(time)) - F.min(F.year(time)) + 1).alias("n_years"),
-        *[F.countDistinct(c).alias(f"n_{c}") for c in distinct],
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in df.columns],
     )
+    return whole.select(
+        "n_rows", "first_time", "last_time", "n_years", *[v.alias(f"n_{c}") for c, v in values.items()], *[f"nulls_{c}" for c in df.columns]
+    )
 
 
 def calendar_span(monthly: DataFrame) -> tuple[Column, Column]:

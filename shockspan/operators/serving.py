@@ -67,7 +67,7 @@ def risk_join(scenarios: DataFrame, forecast: DataFrame) -> DataFrame:
 
 def _scope(scenarios: DataFrame, state: str | None, event_type: str | None) -> DataFrame:
     if state:
-        scenarios = scenarios.filter(F.col("state") == state)
+        scenarios = scenarios.filter(F.col("state") == state.upper())
     return scenarios.filter(F.col("event_type") == event_type.lower()) if event_type else scenarios
 
 

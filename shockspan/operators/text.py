@@ -33,12 +33,22 @@ CATEGORIES = {
 }
 
 # File name part -> event type, first match wins.
-EVENT_TYPES = {t: t for t in ["wildfire", "hurricane", "flood", "earthquake", "tornado"]}
+EVENT_TYPES = {
+    "wildfire": "wildfire",
+    "hurricane": "hurricane",
+    "flood": "flood",
+    "earthquake": "earthquake",
+    "tornado": "tornado",
+}
 
-# States whose lower-case code and an underscore may start a file name.
-STATES = (
-    "CA FL TX NC LA AZ CO CT DC GA IL IN MA MD MI MN MO NV NY OH OK OR PA RI TN UT VA WA WI"
-).split()
+# Start of a file name -> state.
+STATES = {
+    "ca_": "CA", "fl_": "FL", "tx_": "TX", "nc_": "NC", "la_": "LA", "az_": "AZ", "co_": "CO",
+    "ct_": "CT", "dc_": "DC", "ga_": "GA", "il_": "IL", "in_": "IN", "ma_": "MA", "md_": "MD",
+    "mi_": "MI", "mn_": "MN", "mo_": "MO", "nv_": "NV", "ny_": "NY", "oh_": "OH", "ok_": "OK",
+    "or_": "OR", "pa_": "PA", "ri_": "RI", "tn_": "TN", "ut_": "UT", "va_": "VA", "wa_": "WA",
+    "wi_": "WI",
+}
 
 CORPUS = ["id", "text", "category", "state", "event_type", "source", "county_id", "region"]
 
@@ -71,12 +81,10 @@ def infer_metadata(
     name: str,
     categories: dict[str, str] = CATEGORIES,
     event_types: dict[str, str] = EVENT_TYPES,
-    states: dict[str, str] | None = None,
+    states: dict[str, str] = STATES,
 ) -> DataFrame:
     """Category, event type and state from the file name, by ordered rules."""
     low = F.lower(name)
-    if states is None:
-        states = {f"{s.lower()}_": s for s in STATES}
     none = F.lit(None).cast("string")
 
     def rules(table, test):

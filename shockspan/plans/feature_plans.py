@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shockspan.functions import phrases, places
 from shockspan.functions.columns import half_even
 from shockspan.operators import features as X
 from shockspan.operators import impact as I
@@ -63,7 +64,7 @@ def _(t):
 @query("overlap_filter", """
   SELECT * FROM majors WHERE county_id IN (SELECT county_id FROM exits)""", "majors", "exits")
 def _(t):
-    return I.overlap_filter(t.majors, t.exits)
+    return I.overlap_filter(t.majors, t.exit_places)
 
 
 @query("prior_shocks", """
@@ -99,7 +100,7 @@ view("month_offsets", f"SELECT event_id, county_id, begin_on, industry, {MONTH_C
 
 @query("exits_by_month_offset", "SELECT * FROM month_offsets", "month_offsets")
 def _(t):
-    return I.exits_by_month_offset(impact_of(t), t.exits)
+    return I.exits_by_month_offset(I.impact_keys(t.majors, t.exits), t.exits)
 
 
 PEAK = """
@@ -112,7 +113,7 @@ PEAK = """
 
 @query("peak_features", PEAK, "month_offsets")
 def _(t):
-    return X.peak_features(I.exits_by_month_offset(impact_of(t), t.exits))
+    return X.peak_features(I.exits_by_month_offset(I.impact_keys(t.majors, t.exits), t.exits))
 
 
 @query("duration_join", """
@@ -124,9 +125,54 @@ def _(t):
 
 
 @query("map_lookup", """
-  SELECT sector, count(*) AS n_exits FROM sector_exits GROUP BY ALL""", "sector_exits")
+  SELECT p_partkey, p_brand AS industry, coalesce(sector, 'Other') AS sector FROM part LEFT JOIN industry_map ON p_brand = industry""",
+       "industry_map")
 def _(t):
-    return sector_exits(t).groupBy("sector").agg(F.count(F.lit(1)).alias("n_exits"))
+    parts = t.table("part").select("p_partkey", F.col("p_brand").alias("industry"))
+    return X.map_lookup(parts, t.industry_map, "industry", "sector", "Other").select("p_partkey", "industry", "sector")
+
+
+def case_sql(table, of, default):
+    return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
+
+
+@query("map_lookup_prefix_to_state", f"""
+  SELECT c_custkey, county_id, {case_sql(places.STATE_PREFIXES, "county_id[1:2]", "''")} AS state FROM places""", "places")
+def _(t):
+    rows = t.places.select("c_custkey", "county_id", F.substring("county_id", 1, 2).alias("prefix"))
+    return X.map_lookup(rows, places.state_dimension(t.spark), "prefix", "state", "").select("c_custkey", "county_id", "state")
+
+
+@query("map_lookup_state_to_name", f"""
+  SELECT o_orderkey, code, {case_sql(places.STATE_NAMES, "code", "code")} AS state_name
+  FROM (SELECT o_orderkey, {case_sql(places.STATE_PREFIXES, "lpad((o_custkey % 60)::VARCHAR, 2, '0')", "'??'")} AS code FROM orders)""")
+def _(t):
+    prefix = F.lpad((F.col("o_custkey") % 60).cast("string"), 2, "0")
+    rows = t.table("orders").select("o_orderkey", prefix.alias("prefix"))
+    rows = X.map_lookup(rows, places.state_dimension(t.spark).withColumnRenamed("state", "code"), "prefix", "code", "??").drop("prefix")
+    names = t.spark.createDataFrame(list(places.STATE_NAMES.items()), "code string, state_name string")
+    found = X.map_lookup(rows, names, "code", "state_name", "")
+    return found.withColumn("state_name", F.when(F.col("state_name") == "", F.col("code")).otherwise(F.col("state_name")))
+
+
+@query("map_lookup_type_to_industries", f"""
+  SELECT event_id, event_type, {case_sql(phrases.INDUSTRIES, "event_type", f"'{phrases.INDUSTRIES_DEFAULT}'")} AS industries
+  FROM (SELECT event_id, (['hurricane', 'severe_storm', 'flood', 'fire', 'tornado', 'snowstorm', 'severe_ice_storm', 'other'])[user_id % 8 + 1] AS event_type
+        FROM events)""")
+def _(t):
+    kinds = F.array(*[F.lit(k) for k in ("hurricane", "severe_storm", "flood", "fire", "tornado", "snowstorm", "severe_ice_storm", "other")])
+    rows = t.table("events").select("event_id", F.element_at(kinds, (F.col("user_id") % 8 + 1).cast("int")).alias("event_type"))
+    words = t.spark.createDataFrame(list(phrases.INDUSTRIES.items()), "event_type string, industries string")
+    return X.map_lookup(rows, words, "event_type", "industries", phrases.INDUSTRIES_DEFAULT).select("event_id", "event_type", "industries")
+
+
+@query("map_lookup_industry_to_sector", f"""
+  SELECT p_partkey, industry, {case_sql(places.INDUSTRY_SECTORS, "industry", "'Other'")} AS sector
+  FROM (SELECT p_partkey, ({list(places.INDUSTRY_SECTORS) + ["Unknown Trade"]})[p_partkey % {len(places.INDUSTRY_SECTORS) + 1} + 1] AS industry FROM part)""")
+def _(t):
+    names = F.array(*[F.lit(k) for k in [*places.INDUSTRY_SECTORS, "Unknown Trade"]])
+    rows = t.table("part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % (len(places.INDUSTRY_SECTORS) + 1) + 1).cast("int")).alias("industry"))
+    return X.map_lookup(rows, places.sector_dimension(t.spark), "industry", "sector", places.OTHER_SECTOR).select("p_partkey", "industry", "sector")
 
 
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -136,7 +182,7 @@ ONEHOT = ", ".join(f"(event_type = '{v}')::INT AS \"type_{v}\"" for v in TYPES)
 @query("onehot", f"SELECT event_id, event_type, {ONEHOT} FROM shocks", "shocks")
 def _(t):
     shocks = t.shocks.select("event_id", "event_type")
-    return X.onehot(shocks, "event_type", X.category_values(shocks, "event_type"), "type")
+    return X.onehot(shocks, "event_type", TYPES, "type")
 
 
 @query("category_code", """
@@ -294,10 +340,6 @@ def _(t):
     return t.exits.select("county_id").subtract(t.majors.select("county_id"))
 
 
-def matrix(t):
-    return X.feature_matrix(impact_stage(t), t.majors, t.exits, t.industry_map)
-
-
 def r6(*exprs):
     return ", ".join(f"round_even({e}, 6) AS {n}" for n, e in (x.split("=", 1) for x in exprs))
 
@@ -330,9 +372,13 @@ view("matrix_groups", f"""
          avg(excess_exits) OVER (PARTITION BY event_type, sector) AS type_sector_avg_displacement
   FROM sectored s JOIN (SELECT state, count(DISTINCT event_id) AS state_shock_frequency FROM impact GROUP BY ALL) USING (state)""",
      "sectored", "impact")
+# The sectors that brands lead to, and the one of all others.
+SECTORS = ["Economy", "Large", "Medium", "Promo", "Small", "Standard", "Other"]
+INDICATORS = ", ".join([f"(m.event_type = '{v}')::INT AS \"type_{v}\"" for v in TYPES] + [f"(m.sector = '{v}')::INT AS \"sector_{v}\"" for v in SECTORS])
 MATRIX = f"""
   SELECT m.event_id, m.county_id, m.begin_on, m.event_type, m.title, m.area, m.state, m.industry, m.sector, m.window_num,
          post_exits, baseline_yr2_exits, baseline_yr3_exits, baseline_exits, excess_exits, end_on, duration_days, prior_shocks, recently_hit,
+         {INDICATORS},
          month(m.begin_on)::INT AS shock_month, quarter(m.begin_on)::INT AS shock_quarter, year(m.begin_on)::INT AS shock_year,
          sector_size, {", ".join(f"exits_month_{i}" for i in range(1, 7))}, peak_exit_month, peak_exits, immediate_impact,
          (baseline_exits > (SELECT median(baseline_exits) FROM impact))::INT AS high_turnover,
@@ -351,7 +397,7 @@ MATRIX = f"""
 
 
 def matrix(t):
-    return X.feature_matrix(impact_stage(t), t.majors, t.exits, t.industry_map)
+    return X.feature_matrix(impact_stage(t), t.majors, t.exits, t.industry_map, types=TYPES, sectors=SECTORS)
 
 
 @query("feature_matrix", MATRIX, "matrix_groups", "shock_durations", "shock_history", "place_stats", "peaked", "impact")

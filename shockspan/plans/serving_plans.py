@@ -137,6 +137,22 @@ def _(t):
     return E.choose_rollup(scenarios(t), event_type="2-high", state="NATION_3")
 
 
+@query("choose_rollup_county", """
+  SELECT s.* FROM scenarios s WHERE s.event_type = '3-medium' AND s.county_id = '07002'""", "scenarios")
+def _(t):
+    return E.choose_rollup(scenarios(t), event_type="3-medium", county_id="07002")
+
+
+@query("choose_rollup_national", "SELECT * FROM by_type WHERE event_type = '5-low'", "by_type")
+def _(t):
+    return E.choose_rollup(scenarios(t), event_type="5-low")
+
+
+@query("choose_rollup_state_all", "SELECT * FROM by_state_all WHERE state = 'NATION_4'", "by_state_all")
+def _(t):
+    return E.choose_rollup(scenarios(t), state="NATION_4")
+
+
 view("requests", f"SELECT DISTINCT {TYPE} AS event_type, county_id, state FROM shocks", "shocks")
 
 

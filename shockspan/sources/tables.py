@@ -106,6 +106,20 @@ class Tables:
         """Finished jobs; the two-column filter reaches the line item scan."""
         return self.jobs.filter(F.col("ended_on").isNotNull())
 
+    @cached_property
+    def exit_places(self) -> DataFrame:
+        """Places of finished jobs, without the joins that only their other columns need."""
+        return (
+            self.table("lineitem")
+            .filter((F.col("l_linestatus") == MAJOR) & F.col("l_shipdate").isNotNull())
+            .select("l_orderkey")
+            .join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .select("o_custkey")
+            .distinct()
+            .join(self.places, F.col("o_custkey") == F.col("c_custkey"))
+            .select("county_id")
+        )
+
     @cached_property
     def persons(self) -> DataFrame:
         """Jobs nested per person, the shape of a raw employment history: the job of
