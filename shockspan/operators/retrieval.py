@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +16,8 @@ STATE_AND_TYPE = ["model_output", "forecast", "fema", "warn_act", "cobra", "retr
 STATE_ONLY = ["warn_act", "cobra", "retraining", "recovery_timelines", "transferable_skills"]
 TYPE_ONLY = ["model_output", "forecast", "fema", "recovery_timelines", "transferable_skills"]
 
-QUERIES_PER_PASS = 2048
+#: Questions and chunks that meet in one task, about, and questions compared at a time.
+QUERIES, CHUNKS, AT_ONCE = 4096, 32_768, 128
 
 
 def allowed(chunk: dict[str, np.ndarray], state: str | None, event_type: str | None) -> np.ndarray | None:
@@ -48,72 +47,65 @@ def topk_cosine(chunks: DataFrame, queries: DataFrame, k: int = 6, vector: str =
     """The k most similar chunks per query, exactly, under the query's filter.
 
     ``chunks`` need id, category, state, event_type and a vector; ``queries`` need
-    query_id, state, event_type and a vector. Each task keeps the k best of its own
-    chunks per query, so what is shuffled is k rows per task and query, never the
-    pairs. Queries travel to the tasks in passes of a bounded count.
+    query_id, state, event_type and a vector. Both sides are dealt into blocks by
+    hash; each pair of blocks meets in one task of bounded size, which keeps the k best
+    of its chunks per query, so what is shuffled afterwards is k rows per query and
+    block of chunks, never the pairs. Queries are copied once per block of chunks and
+    chunks once per block of queries; nothing passes through the driver.
     """
     asked = stored(queries.select("query_id", "state", "event_type", vector).filter(F.col(vector).isNotNull()), "queries")
-    passes = max(1, -(-asked.count() // QUERIES_PER_PASS))
-    turn = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     rows = chunks.select("id", "category", "state", "event_type", vector).filter(F.col(vector).isNotNull())
+    rows = stored(rows, "vectors")
+    across, down = max(1, -(-asked.count() // QUERIES)), max(1, -(-rows.count() // CHUNKS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("_c", every(down))
+    right = rows.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")).withColumn("_q", every(across))
     types = {f.name: f.dataType.simpleString() for f in (*rows.schema, *asked.schema)}
     schema = f"query_id {types['query_id']}, id {types['id']}, sim double"
-    found = None
-    for i in range(passes):
-        block = asked.filter(turn == i).toPandas()
-        if len(block):
-            part = rows.mapInArrow(scanner(block, vector, k), schema)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return chunks.sparkSession.createDataFrame([], schema.replace("sim ", "similarity ") + ", rank int")
+    found = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(compare(vector, k), schema)
     order = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "id", F.round("sim", 4).alias("similarity"), "rank")
 
 
-def scanner(block, vector: str, k: int):
-    """Task function: one walk over the task's chunks, keeping k rows per query."""
-    asked = np.stack(block[vector].to_numpy()).astype(np.float64)
-    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-    keys = block["query_id"].tolist()
-    key_type = pa.Array.from_pandas(block["query_id"]).type
-    scope = [(s or None, e or None) for s, e in zip(block["state"].tolist(), block["event_type"].tolist())]
-    modes = sorted(set(scope), key=str)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [(np.empty(0), None)] * len(keys)
-        out = None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            out = batch.schema
-            column = batch.column(batch.schema.get_field_index(vector))
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
-            sims = np.round(asked @ flat.T, 9)
-            ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-            meta = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("category", "state", "event_type")}
-            masks = {m: allowed(meta, *m) for m in modes}
-            for q, mode in enumerate(scope):
-                seen, mask = masks[mode], sims[q]
-                s, i = (mask, ids) if seen is None else (mask[seen], ids[seen])
-                old_s, old_i = kept[q]
-                if old_i is not None:
-                    s, i = np.concatenate([old_s, s]), np.concatenate([old_i, i])
-                if len(s):
-                    top = best_rows(s, i, k)
-                    kept[q] = (s[top], i[top])
-        if out is None:
-            return
-        rows = [(keys[q], i, float(s)) for q, (ss, ii) in enumerate(kept) if ii is not None for s, i in zip(ss, ii)]
-        if rows:
-            a, b, c = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(a), type=key_type), pa.array(list(b), type=out.field("id").type), pa.array(c, type=pa.float64())], names=["query_id", "id", "sim"]
-            )
-
-    return scan
+def unit_rows(table: pa.Table, vector: str) -> np.ndarray:
+    flat = table.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = flat.reshape(table.num_rows, -1)
+    return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
+
+
+def compare(vector: str, k: int):
+    """Task function: the k best chunks of a block for every query of a block."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        query, found, similar = [], [], []
+        if asked.num_rows and rows.num_rows:
+            q, c = unit_rows(asked, vector), unit_rows(rows, vector)
+            ids = rows.column("id").to_numpy()
+            meta = {m: rows.column(m).to_pandas().to_numpy() for m in ("category", "state", "event_type")}
+            modes: dict[tuple, list[int]] = {}
+            for i, mode in enumerate(zip(asked.column("state").to_pylist(), asked.column("event_type").to_pylist(), strict=True)):
+                modes.setdefault((mode[0] or None, mode[1] or None), []).append(i)
+            for mode, members in modes.items():
+                mask = allowed(meta, *mode)
+                near, near_ids = (c, ids) if mask is None else (c[mask], ids[mask])
+                for i in range(0, len(members), AT_ONCE):
+                    part = members[i : i + AT_ONCE]
+                    for row, sims in zip(part, np.round(q[part] @ near.T, 9), strict=True):
+                        top = best_rows(sims, near_ids, k)
+                        query += [row] * len(top)
+                        found.append(near_ids[top])
+                        similar.append(sims[top])
+        empty = [np.empty(0)]
+        return pa.table(
+            {
+                "query_id": asked.column("query_id").take(pa.array(query, pa.int64())),
+                "id": pa.array(np.concatenate(found) if found else [], type=rows.schema.field("id").type),
+                "sim": pa.array(np.concatenate(similar or empty), pa.float64()),
+            }
+        )
+
+    return run
 
 
 def format_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,11 +1,7 @@
-"""Chunking, metadata rules, corpus assembly and embedding of texts."""
+"""Chunking, metadata rules, corpus assembly and word-count vectors of texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,16 +129,18 @@ def upsert_chunks(target: DataFrame, batch: DataFrame, key: str = "id", order: s
     return target.join(batch.select(key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
-Encoder = Callable[[list[str]], np.ndarray]
-
-
-def embed(df: DataFrame, text: str, load: Callable[[], Encoder], out: str = "embedding") -> DataFrame:
-    """Text -> vector through an encoder that each task loads once."""
+def hashed_words(df: DataFrame, key: str, text: str, size: int = 64, out: str = "embedding") -> DataFrame:
+    """A vector without a model per ``key``: counts of words by a stable hash of the word.
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = load()
-        for batch in batches:
-            yield pd.Series(list(np.asarray(encoder(batch.fillna("").tolist()), dtype=np.float32)))
-
-    return df.withColumn(out, encode(F.col(text)))
+    A sentence encoder is the caller's own (an Arrow function over ``text``); this one
+    needs none. Words combine per key and slot before the shuffle.
+    """
+    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = df.select(key, F.explode_outer(words).alias("_w"))
+    slot = (F.conv(F.substring(F.md5("_w"), 1, 8), 16, 10).cast("long") % size).cast("int")
+    counts = rows.groupBy(key, slot.alias("_slot")).agg(F.count("_w").alias("_n"))
+    maps = counts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct("_slot", "_n")))).alias("_m")
+    )
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("float"))
+    return maps.select(key, filled.alias(out))

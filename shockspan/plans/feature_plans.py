@@ -48,8 +48,8 @@ def _(t):
 
 
 @query("flatten_exits", """
-  SELECT county_id, industry, company, title, started_on, ended_on, area AS locality, state AS region,
-         date_trunc('month', ended_on)::DATE AS end_month FROM exits""", "exits")
+  SELECT county_id, industry, company, title, started_on, ended_on, locality, region, date_trunc('month', ended_on)::DATE AS end_month
+  FROM person_jobs WHERE ended_at <> '' AND county_id IS NOT NULL AND company IS NOT NULL AND industry IS NOT NULL""", "person_jobs")
 def _(t):
     return I.flatten_exits(t.persons)
 

@@ -19,10 +19,18 @@ view("shocks", """
   FROM orders JOIN places ON o_custkey = c_custkey""", "places")
 view("majors", "SELECT * FROM shocks WHERE level = 'F' AND county_code <> '000'", "shocks")
 view("jobs", """
-  SELECT o_custkey AS person_id, county_id, area, state, p_brand AS industry, p_name AS title, s_name AS company,
+  SELECT o_custkey AS person_id, l_orderkey, l_linenumber, county_id, area, state, p_brand AS industry, p_name AS title, s_name AS company,
          o_orderdate::DATE AS started_on, CASE WHEN l_linestatus = 'F' THEN l_shipdate::DATE END AS ended_on
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN places ON o_custkey = c_custkey
   JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""", "places")
+view("person_jobs", """
+  SELECT title, started_on, ended_on, coalesce(ended_on::VARCHAR, CASE WHEN l_linenumber % 2 = 0 THEN '' END) AS ended_at,
+         CASE WHEN (l_orderkey + l_linenumber) % 13 <> 0 THEN county_id END AS county_id,
+         CASE WHEN (l_orderkey + l_linenumber) % 13 <> 0 THEN area END AS locality,
+         CASE WHEN (l_orderkey + l_linenumber) % 13 <> 0 THEN state END AS region,
+         CASE WHEN (l_orderkey + l_linenumber) % 17 <> 0 THEN company END AS company,
+         CASE WHEN (l_orderkey + l_linenumber) % 17 <> 0 AND (l_orderkey + l_linenumber) % 19 <> 0 THEN industry END AS industry
+  FROM jobs""", "jobs")
 view("exits", "SELECT * FROM jobs WHERE ended_on IS NOT NULL", "jobs")
 view("edges", """
   SELECT DISTINCT county_id, begin_on, w AS window_num, p1::DATE AS p1, p2::DATE AS p2,

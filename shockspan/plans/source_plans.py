@@ -10,6 +10,7 @@ from shockspan.plans import series_plans as SP
 from shockspan.plans.dashboard_plans import seasonal_profiles
 from shockspan.plans.registry import query
 from shockspan.plans.serving_plans import TYPE, regions, scenarios
+from shockspan.plans.text_plans import TRIM
 from shockspan.session import scratch_path
 from shockspan.sources import readers as R
 
@@ -33,20 +34,21 @@ def _(t):
     return R.read_declarations(t.spark, written(raw, "csv"), raw.schema)
 
 
-@query("read_csv_dates", "SELECT event_id, ts, event_type, value FROM events")
+@query("read_csv_dates", "SELECT * FROM events")
 def _(t):
-    raw = t.table("events").select("event_id", "ts", "event_type", "value")
-    path = written(raw, "csv")
-    return R.read_csv_dates(t.spark, path, raw.schema)
+    raw = t.table("events")
+    return R.read_csv_dates(t.spark, written(raw, "csv", escape='"'), raw.schema, escape='"')
 
 
 @query("read_persons", """
-  SELECT county_id, count(*) * 2 AS jobs, count(ended_on) AS ended, count(DISTINCT industry) AS industries FROM jobs GROUP BY ALL""", "jobs")
+  SELECT title, strftime(started_on, '%Y-%m-%d') AS started_at, ended_at, county_id, locality, region, company, industry, persons
+  FROM person_jobs, (SELECT count(DISTINCT l_orderkey) AS persons FROM jobs)""", "person_jobs", "jobs")
 def _(t):
     people = R.read_persons(t.spark, written(t.persons.select("jobs"), "json"))
-    job = people.select(F.explode("jobs").alias("j"))
-    return job.groupBy(F.col("j.location_details.county_id").alias("county_id")).agg(
-        F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("j.ended_at") != "").alias("ended"), F.countDistinct("j.company.industry").alias("industries")
+    n = people.select(F.count(F.lit(1))).scalar()
+    return people.select(F.explode("jobs").alias("j")).select(
+        "j.title", "j.started_at", "j.ended_at", "j.location_details.county_id", "j.location_details.locality", "j.location_details.region",
+        F.col("j.company.name").alias("company"), "j.company.industry", n.alias("persons"),
     )
 
 
@@ -69,15 +71,25 @@ def _(t):
     return R.read_forecasts(t.spark, written(lines, "text")).withColumn("peak_months", F.array_join("peak_months", ", "))
 
 
-@query("read_documents", """
-  SELECT text, count(*) AS n FROM texts GROUP BY ALL""", "texts")
+def files_named(df):
+    """A folder with one file per row of ``name`` and ``value``, for rows as few as documents at hand."""
+    spark = df.sparkSession
+    path, out = scratch_path(spark, "parts"), scratch_path(spark, "files")
+    df.write.partitionBy("name").text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(out))
+    for part in fs.globStatus(hadoop.Path(f"{path}/name=*/part-*")):
+        name = part.getPath().getParent().getName().removeprefix("name=")
+        fs.rename(part.getPath(), hadoop.Path(f"{out}/{name}"))
+    return out
+
+
+@query("read_documents", f"""
+  SELECT 'item_' || item_id || '.md' AS name, trim(text, {TRIM}) AS text FROM benchmark WHERE trim(text, {TRIM}) <> ''""")
 def _(t):
-    # one text per file is what whole-file reading takes, so files are split by record
-    docs = t.table("documents").select(F.concat("text", F.lit("\x00")).alias("value"))
-    path = written(docs, "text")
-    files = R.read_documents(t.spark, path, "*.txt")
-    texts = files.select(F.explode(F.split("text", "\x00\n?")).alias("text")).select(R.strip(F.col("text")).alias("text"))
-    return texts.filter(F.length("text") > 0).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    items = t.table("benchmark").select(F.concat(F.lit("item_"), "item_id", F.lit(".md")).alias("name"), F.concat(F.lit("\n"), "text").alias("value"))
+    return R.read_documents(t.spark, files_named(items))
 
 
 @query("read_profiles", "SELECT id, state, event_type, text, 'forecast' AS source FROM seasonal_texts", "seasonal_texts")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -115,23 +114,15 @@ def _(t):
     return X.upsert_chunks(old, new, "doc_id", "seq")
 
 
-def word_counts():
-    """A small encoder without a model: word counts by a stable hash of the word."""
-    import zlib
-
-    def encode(texts):
-        out = np.zeros((len(texts), 64), dtype=np.float32)
-        for i, text in enumerate(texts):
-            slots = [zlib.crc32(w.encode()) % 64 for w in text.lower().split()]
-            np.add.at(out[i], slots, 1.0)
-        return out
-
-    return encode
-
-
-@query("embed")
+@query("hashed_words", """
+  SELECT id, array_to_string(list(coalesce(n, 0) ORDER BY slot), ' ') AS counts
+  FROM (SELECT DISTINCT id FROM chunks) CROSS JOIN (SELECT unnest(range(64)) AS slot)
+  LEFT JOIN (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot, count(*) AS n
+             FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+')) AS w FROM chunks) WHERE w <> '' GROUP BY ALL)
+    USING (id, slot) GROUP BY id""", "chunks")
 def _(t):
-    return X.embed(X.chunk_text(documents(t), "doc_id", "text").select("id", "text"), "text", word_counts)
+    out = X.hashed_words(X.chunk_text(documents(t), "doc_id", "text"), "id", "text")
+    return out.select("id", F.array_join(F.transform("embedding", lambda x: x.cast("int")), " ").alias("counts"))
 
 
 # ---- retrieval -------------------------------------------------------------
@@ -189,6 +180,22 @@ def _(t):
     return R.topk_cosine(stored_vectors(t), centres(t), 6)
 
 
+@query("topk_cosine_all", f"""
+  SELECT query_id, id, round(sim, 4) AS similarity, rank FROM (
+    SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)::INT AS rank FROM (
+      SELECT q.id AS query_id, c.id, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS sim
+      FROM stored_vectors q CROSS JOIN stored_vectors c
+      WHERE {filter_sql("c.state = q.state", "c.event_type = q.event_type", "c.category", "q.id % 5 < 2", "q.id % 7 < 3")}))
+  WHERE rank <= 3""", "stored_vectors")
+def _(t):
+    """Every stored vector asks, under one of the four filter modes."""
+    base, i = stored_vectors(t), F.col("id")
+    asked = base.select(
+        i.alias("query_id"), F.when(i % 5 < 2, F.col("state")).alias("state"), F.when(i % 7 < 3, F.col("event_type")).alias("event_type"), "embedding"
+    )
+    return R.topk_cosine(base, asked, 3)
+
+
 # ---- questions -------------------------------------------------------------
 view("questions", """
   SELECT conv_id * 1000 + turn AS query_id, text AS message,

@@ -23,26 +23,32 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         # generated methods above this size are never compiled by the JVM's JIT
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", own_folder())
         .getOrCreate()
     )
 
 
-_own_folder: str | None = None
+_own: tempfile.TemporaryDirectory | None = None
+
+
+def own_folder() -> str:
+    """A private folder of this process, removed with all stages in it when it ends."""
+    global _own
+    _own = _own or tempfile.TemporaryDirectory(prefix="shockspan-", ignore_cleanup_errors=True)
+    return _own.name
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: the session's checkpoint folder.
+    """The folder all executors see: the session's ``spark.checkpoint.dir``.
 
-    A private folder is made only where the session names none, as in tests.
+    Only a session of one machine that names none, as in tests, gets a private folder.
     """
-    global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    _own_folder = _own_folder or tempfile.mkdtemp(prefix="run-")
-    return _own_folder
+    return own_folder()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

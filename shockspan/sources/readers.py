@@ -117,9 +117,9 @@ def read_optional(spark: SparkSession, paths: list[str], schema: T.StructType, f
     return spark.createDataFrame([], schema)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "errorifexists", **options) -> None:
     """Write a stage. CSV gets a header and keeps empty text apart from null."""
-    writer = df.write.mode(mode).format(fmt)
+    writer = df.write.mode(mode).format(fmt).options(**options)
     if fmt == "csv":
         writer = writer.options(header=True, emptyValue='""', **CSV_TIMES)
     if partition_by:
