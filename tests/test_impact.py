@@ -139,8 +139,8 @@ def test_flatten_skips_what_has_no_place_end_or_company(spark):
 def test_months_count_from_the_calendar_month(spark):
     s = [(1, "a", D(2000, 1, 31), None)]
     e = [("a", "x", D(2000, 1, 2)), ("a", "x", D(2000, 2, 1)), ("a", "x", D(2000, 6, 30)), ("a", "x", D(2000, 7, 1)), ("a", "x", D(1999, 12, 31))]
-    facts = I.window_impact(shocks(spark, s), exits(spark, e))
-    row = I.exits_by_month_offset(facts, exits(spark, e)).collect()[0]
+    keys = I.impact_keys(shocks(spark, s), exits(spark, e))
+    row = I.exits_by_month_offset(keys, exits(spark, e)).collect()[0]
     assert [row[f"exits_month_{i}"] for i in range(1, 7)] == [1, 1, 0, 0, 0, 1]
 
 

@@ -89,7 +89,7 @@ def test_audience(spark, job, question, given, want):
 
 
 def test_topk_equals_brute_force_with_copies(spark, monkeypatch):
-    monkeypatch.setattr(R, "QUERIES_PER_PASS", 3)
+    monkeypatch.setattr(R, "QUERIES", 3)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(60, 8)).astype(np.float32)
     vectors = np.vstack([base, np.repeat(base[:1], 40, axis=0)])  # a third are copies
