@@ -104,6 +104,7 @@ def structured_answers(routed: DataFrame, scenarios: DataFrame, forecast: DataFr
     All texts that can be asked for form one small stored table, keyed by intent and
     parameters, so the questions meet it in one join and are not shuffled by intent.
     """
+    routed = stored(routed, "routed")  # read for the portfolios and for the answers
     texts = [
         N.top_risk_text(V.top_risk(scenarios, forecast, limit), limit).withColumn("intent", F.lit("top_risk")),
         N.preposition_text(V.preposition(scenarios, forecast, limit), limit).withColumn("intent", F.lit("preposition")),

@@ -102,7 +102,7 @@ def fitted(series: DataFrame, models: list[str], holdout: int = 12, horizon: int
             for row in pdf.itertuples(index=False):
                 y = np.asarray(row.y, dtype=float)
                 n, train = len(y), len(y) - holdout
-                last = pd.Timestamp(row.last_month)
+                last = np.datetime64(row.last_month, "M")
                 for model in models:
                     got = MODELS[model](y[:train], holdout + horizon) if train >= 24 else None
                     if got is None:
@@ -115,7 +115,7 @@ def fitted(series: DataFrame, models: list[str], holdout: int = 12, horizon: int
                             pd.DataFrame(
                                 {
                                     **{c: getattr(row, c) for c in keys}, "model": model, "part": part, "t": t,
-                                    "month": [(last + pd.DateOffset(months=int(i - n + 1))).date() for i in t],
+                                    "month": (last + (t - n + 1)).astype("datetime64[D]").astype(object),
                                     "n": y[train:] if part == "test" else np.nan,
                                     "predicted": values[0], "lower": values[1], "upper": values[2],
                                 }

@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 from shockspan.functions.columns import shift
 from shockspan.session import stored
 
-CELLS_PER_TASK = 250_000
-
-
 def range_sums(
     points: DataFrame,
     anchors: DataFrame,
@@ -26,6 +23,7 @@ def range_sums(
     ranges: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]],
     reach: tuple[int, int],
     weight: Callable[[Column, Column], Column] | None = None,
+    cells_per_task: int = 250_000,
 ) -> DataFrame:
     """For each anchor and ``within`` group, the points in each half-open range.
 
@@ -42,7 +40,8 @@ def range_sums(
       at each edge, edges first, which makes the ranges half-open.
 
     Times below day grain put no calendar bound on the cells, so for those the
-    slots are split again by a share of the cells that their count calls for.
+    slots are split again into shares of about ``cells_per_task`` cells; the result
+    is the same for any number.
     """
     day_grain = all(
         isinstance(df.schema[c].dataType, T.DateType)
@@ -77,7 +76,7 @@ def range_sums(
     if within or not day_grain:
         groups = placed.groupBy(*slots).agg(F.count(F.lit(1)).alias("_cells"))
         if not day_grain:
-            groups = groups.withColumn("_shares", F.ceil(F.col("_cells") / CELLS_PER_TASK).cast("int"))
+            groups = groups.withColumn("_shares", F.ceil(F.col("_cells") / cells_per_task).cast("int"))
         marks = marks.join(groups.drop("_cells"), [*by, "_slot"])
         if not day_grain:
             marks = marks.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")

@@ -99,19 +99,24 @@ def calendar_profile(df: DataFrame, time: str = "begin_on") -> DataFrame:
     return cells.select(part.alias("p"), "n").groupBy("p.kind", "p.value").agg(F.sum("n").alias("n"))
 
 
-def dataset_summary(df: DataFrame, time: str, distinct: list[str]) -> DataFrame:
+def dataset_summary(df: DataFrame, time: str, distinct: list[str], error: float | None = None) -> DataFrame:
     """Row count, time span, distinct values of the named columns, nulls per column.
 
     Each distinct count is one over its own column's values, which combine before the
-    shuffle; together in one aggregate they would multiply every row.
+    shuffle; together in one aggregate they would multiply every row. With a relative
+    ``error`` they are estimated in the same pass instead.
     """
-    values = {c: df.select(c).distinct().select(F.count(c)).scalar() for c in distinct}
+    if error is None:
+        values = {c: df.select(c).distinct().select(F.count(c)).scalar() for c in distinct}
+    else:
+        values = {c: F.col(f"_{c}") for c in distinct}
     whole = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(time).alias("first_time"),
         F.max(time).alias("last_time"),
         (F.max(F.year(time)) - F.min(F.year(time)) + 1).alias("n_years"),
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in df.columns],
+        *[F.approx_count_distinct(c, error).alias(f"_{c}") for c in distinct if error is not None],
     )
     return whole.select(
         "n_rows", "first_time", "last_time", "n_years", *[v.alias(f"n_{c}") for c, v in values.items()], *[f"nulls_{c}" for c in df.columns]

@@ -11,6 +11,7 @@ from shockspan.operators import dashboard as D
 from shockspan.operators import export as E
 from shockspan.operators import forecast as P
 from shockspan.operators import narrative as N
+from shockspan.operators import series as S
 from shockspan.operators import serving as V
 from shockspan.operators.series import KEYS
 from shockspan.plans import series_plans as SP
@@ -230,6 +231,18 @@ def _(t):
     return seasonal_profiles(t)
 
 
+@query("circular_season", """
+  SELECT state, event_type, CASE WHEN len = 0 THEN monthname(make_date(2000, start, 1))
+         ELSE monthname(make_date(2000, start, 1)) || '–' || monthname(make_date(2000, (start + len - 1) % 12 + 1, 1)) END AS season
+  FROM (SELECT state, event_type, min(len) AS len, arg_min(start, len * 100 + start) AS start FROM (
+    SELECT a.state, a.event_type, a.m AS start, max((b.m - a.m + 12) % 12)::INT AS len
+    FROM (SELECT state, event_type, month(strptime(unnest(peak_months) || ' 2000', '%B %Y'))::INT AS m FROM peaks) a
+    JOIN (SELECT state, event_type, month(strptime(unnest(peak_months) || ' 2000', '%B %Y'))::INT AS m FROM peaks) b
+      ON a.state = b.state AND a.event_type = b.event_type GROUP BY ALL) GROUP BY state, event_type)""", "peaks")
+def _(t):
+    return S.peak_months(SP.filled(t)).select(*KEYS, N.circular_window(F.col("peak_months")).alias("season"))
+
+
 @query("comparison_text", f"""
   SELECT b.state, b.event_type, array_to_string([
       printf({quoted(T.COMPARISON_TITLE)}, b.state, b.event_type, {RECORD}) || chr(10)

@@ -110,3 +110,9 @@ def _(t):
 def _(t):
     path = written(SP.monthly(t), "parquet", partition_by=["event_type"])
     return t.spark.read.schema(SP.monthly(t).schema).parquet(path).select("state", "event_type", "month", "n")
+
+
+@query("event_props", "SELECT event_id, event_type, (props->>'$.k')::BIGINT AS k FROM events")
+def _(t):
+    """One path of the JSON column, cut out without parsing the rest."""
+    return t.table("events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))

@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES = catalog.QUERIES
 CHECKS = catalog.checks()
 # Fits whose result SQL cannot repeat; test_models covers them.
-FITS = {"negbin_forecast", "additive_forecast", "compare_models", "cross_validate", "train_boosted", "feature_importance"}
+FITS = {"negbin_forecast", "additive_forecast", "compare_models", "cross_validate", "train_boosted", "feature_importance", "predicted_scenarios"}
 
 
 @pytest.fixture(scope="module")
