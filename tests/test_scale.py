@@ -95,3 +95,10 @@ def test_hashed_words_of_empty_texts(spark):
     df = spark.createDataFrame([(1, "a b A"), (2, ""), (3, None)], "id long, text string")
     got = {r.id: sum(r.embedding) for r in T.hashed_words(df, "id", "text").collect()}
     assert got == {1: 3.0, 2: 0.0, 3: 0.0}
+
+
+def test_distinct_counts_exact_and_estimated(spark):
+    df = spark.range(3000).select((F.col("id") % 700).alias("a"), F.lit(None).cast("int").alias("b"), F.lit(dt.date(2001, 1, 1)).alias("at"))
+    exact = S.dataset_summary(df, "at", ["a", "b"]).first()
+    near = S.dataset_summary(df, "at", ["a", "b"], error=0.05).first()
+    assert (exact.n_a, exact.n_b, exact.nulls_b) == (700, 0, 3000) and abs(near.n_a - 700) < 90 and near.n_b == 0
