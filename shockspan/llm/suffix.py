@@ -16,8 +16,9 @@ the first occurrence included.
    blocks form an interval; the 16 windows around those blocks are equal exactly where
    the 16 remaining bytes before and after them are, which is checked byte for byte.
 4. An anchor with more than ``crowd`` variants (a passage that very many documents
-   share in different surroundings) would be one task's work. Its windows are hashed
-   and counted by a grouped aggregate instead, with partial counts before the shuffle.
+   share in different surroundings; some 600,000 symbols for one task) has its windows
+   hashed and counted by a grouped aggregate instead, with partial counts before the
+   shuffle, so no task sorts more than that and no result is left out.
 
 The suffix array is built by linear grouping (Baier, 2016). Suffixes start in groups by
 first symbol. Groups are processed in descending order: each member's previous smaller
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 from shockspan.llm.common import id_or_null, packed, slices, unpacked
 from shockspan.session import stored
 
-LENGTH, MARK, BLOCK, CROWD = 400, 64, 16, 512
+LENGTH, MARK, BLOCK, CROWD = 400, 64, 16, 16_384
 #: Bytes of a text that are worked on at a time, and symbols sorted at a time.
 PART, SYMBOLS = 1 << 22, 60_000
 _rng = np.random.default_rng(20)
@@ -228,16 +229,30 @@ def shared_windows(groups: list[int], parts: list[bytes], marks: list[int], leng
     interval = np.concatenate([[0], np.cumsum((seen[1:] != seen[:-1]).any(axis=1))])
     many = np.bincount(interval)[interval] > 1
     order, interval = order[many], interval[many]
-    # a window starts e bytes before its first whole block
-    e, j = np.arange(BLOCK)[None, :, None], np.arange(BLOCK)[None, None, :]
-    where = at[order][:, None, None] - e + j + np.where(j >= e, wide * BLOCK, 0)
-    starts = (at[order] - begin[row[order]])[:, None] - np.arange(BLOCK)
-    fits = (starts >= 0) & (starts + length <= sizes[row[order]][:, None])
-    edge = np.ascontiguousarray(flat[np.clip(where, 0, len(flat) - 1)]).view("<u8")
-    k, shift = np.nonzero(fits)
-    rank = _ranks(interval[k], shift, edge[k, shift, 0], edge[k, shift, 1])
-    twice = np.bincount(rank)[rank] > 1 if len(rank) else np.zeros(0, bool)
-    return row[order[k[twice]]], starts[k[twice], shift[twice]]
+    found = []
+    for part, within in _batches(order, interval):
+        # a window starts e bytes before its first whole block
+        e, j = np.arange(BLOCK)[None, :, None], np.arange(BLOCK)[None, None, :]
+        where = at[part][:, None, None] - e + j + np.where(j >= e, wide * BLOCK, 0)
+        starts = (at[part] - begin[row[part]])[:, None] - np.arange(BLOCK)
+        fits = (starts >= 0) & (starts + length <= sizes[row[part]][:, None])
+        edge = flat[np.clip(where, 0, len(flat) - 1, out=where)].view("<u8")
+        k, shift = np.nonzero(fits)
+        rank = _ranks(within[k], shift, edge[k, shift, 0], edge[k, shift, 1])
+        twice = np.bincount(rank)[rank] > 1 if len(rank) else np.zeros(0, bool)
+        found.append((row[part[k[twice]]], starts[k[twice], shift[twice]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _batches(order: np.ndarray, interval: np.ndarray, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole intervals, about ``most`` suffixes at a time, so the checks take little memory."""
+    heads = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]])) if len(order) else []
+    begin = 0
+    for stop in [*heads[1:], len(order)]:
+        if stop - begin >= most or stop == len(order):
+            if stop > begin:
+                yield order[begin:stop], interval[begin:stop]
+            begin = stop
 
 
 SPAN = "id long, th long, a long, b long"
