@@ -66,7 +66,8 @@ def median(df: DataFrame, column: str, weight: str | None = None) -> Column:
     """Exact median as a scalar subquery, optionally of weighted rows.
 
     Values are counted first; what meets in one place is one entry per distinct
-    value (days or half counts), not the rows.
+    value, not the rows. Meant for columns of few distinct values (days, half counts);
+    a column of arbitrary numbers would bring all of them to one task.
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(n.alias("_n"))

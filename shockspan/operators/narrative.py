@@ -222,7 +222,11 @@ def risk_word(value: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: list[Column | str]) -> DataFrame:
-    """Number the rows of a finished ranking (a top-k or one row per sector)."""
+    """Number the rows of a finished ranking in one task.
+
+    Such a ranking is a top-k, or has a row per sector (for surges per sector and event
+    type), so its size is bounded by the dimensions and not by the facts.
+    """
     return df.withColumn("_i", F.row_number().over(W.orderBy(*order)))
 
 
