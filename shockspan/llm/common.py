@@ -66,6 +66,12 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         yield batch.slice(begin)
 
 
+def text_parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column, a slice at a time."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+        yield part.column(0).to_pylist()
+
+
 def sampled(rows: DataFrame, id_column: Column, most: int, by: Column | None = None) -> DataFrame:
     """About ``most`` rows at most, chosen by a hash of the id; all rows where they are fewer.
 

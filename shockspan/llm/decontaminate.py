@@ -25,12 +25,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockspan.llm.common import id_or_null, named, packed, slices
+from shockspan.llm.common import id_or_null, named, packed, slices, text_parts
 
 RATE, BLOCK_WORDS = 0.2, 400_000
 WORD = re.compile(r"[^\W_]+")
@@ -183,12 +182,14 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def _holds(block: Block):
-    def run(texts: pd.Series) -> pd.Series:
-        marks = np.zeros(len(texts), bool)
-        marks[[f[0] for f in block.matches(texts.tolist())]] = True
-        return pd.Series(marks)
-
-    return F.pandas_udf(run, "boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        marks = []
+        for part in text_parts(texts):
+            held = {f[0] for f in block.matches(part)}
+            marks += [i in held for i in range(len(part))]
+        return pa.array(marks, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
 
 
 def clean_of(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:

@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shockspan.llm.common import fold, named, sampled
+from shockspan.llm.common import fold, named, sampled, text_parts
 from shockspan.llm.quality import best_label
 from shockspan.session import stored
 
 #: Labelled documents of each class, unlabelled ones, and mined words, at most.
 LABELLED, UNLABELLED, MINED = 8_000, 3_000, 400
+#: Words that a task counts before it hands the counts on.
+HELD = 100_000
 CANDIDATES, SUPPORT, LIFT, COVER, STEMS = 30_000, 4, 12.0, 8, (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 LEXICON = (
@@ -171,19 +173,25 @@ def trained(place: dict[str, int], fired: list[list[int]], label: np.ndarray) ->
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter = Counter()
+    toxic: Counter = Counter()
+
+    def counted() -> pa.RecordBatch:
+        columns = [pa.array(list(found), pa.string()), pa.array([toxic[w] for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())]
+        found.clear()
+        toxic.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["word", "t", "n"])
+
     for batch in batches:
-        found: Counter = Counter()
-        toxic: Counter = Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            own = set(words_of(text))
+        for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            own = set(words_of(text.as_py()))
             own |= {w[:n] + "*" for w in own for n in STEMS if len(w) >= n}
             found.update(own)
             if label == 1:
                 toxic.update(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.string()), pa.array([toxic[w] for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())],
-            names=["word", "t", "n"],
-        )
+            if len(found) > HELD:
+                yield counted()
+    yield counted()
 
 
 def candidates(sample: DataFrame, most: int = CANDIDATES) -> list[str]:
@@ -244,7 +252,12 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
 
 def score(model: Voters, text: Column) -> Column:
     lengths = stems_of(model.place)
-    return F.pandas_udf(lambda s: pd.Series(model.score([votes(t, model.place, lengths) for t in s])), "double")(text)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [model.score([votes(t, model.place, lengths) for t in part]) for part in text_parts(texts)]
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
+
+    return F.arrow_udf(run, "double")(text)
 
 
 def learnable(folds: int = 3, held: int = 1) -> Column:
