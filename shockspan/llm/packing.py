@@ -36,7 +36,7 @@ from shockspan.session import stored
 
 CAPACITY, END, GROUP = 1024, 2, 16384
 #: Parts and their ids that a worker keeps; about 200 bytes each.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 450_000
 #: A blank before a character that is no white space, neither here nor for the tokenizer.
 CUT = re.compile(r" (?=[^\s\x1c-\x1f])")
 #: What follows any other blank.
