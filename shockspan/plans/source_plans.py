@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from shockspan.operators import forecast as P
@@ -71,17 +76,34 @@ def _(t):
     return R.read_forecasts(t.spark, written(lines, "text")).withColumn("peak_months", F.array_join("peak_months", ", "))
 
 
+def _one_file_each(out):
+    def run(batches):
+        fs, root = FileSystem.from_uri(out)
+        part, seen = f"{root}/part={TaskContext.get().partitionId()}", Counter()
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if name is None:
+                    raise ValueError("a file needs a name")
+                folder = f"{part}/copy={seen[name]}"
+                if not seen.total() or seen[name]:
+                    fs.create_dir(folder, recursive=True)
+                seen[name] += 1
+                with fs.open_output_stream(f"{folder}/{name}") as f:
+                    f.write((value or "").encode())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([seen.total()], pa.int64())})
+
+    return run
+
+
 def files_named(df):
-    """A folder with one file per row of ``name`` and ``value``, for rows as few as documents at hand."""
-    spark = df.sparkSession
-    path, out = scratch_path(spark, "parts"), scratch_path(spark, "files")
-    df.write.partitionBy("name").text(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.Path(out))
-    for part in fs.globStatus(hadoop.Path(f"{path}/name=*/part-*")):
-        name = part.getPath().getParent().getName().removeprefix("name=")
-        fs.rename(part.getPath(), hadoop.Path(f"{out}/{name}"))
+    """A folder with one file per row of ``name`` and ``value``, written by the tasks.
+
+    Equal names lie in folders of their own (of a task, and of the copy in it), so no row replaces another.
+    """
+    out = scratch_path(df.sparkSession, "files")
+    fs, root = FileSystem.from_uri(out)
+    fs.create_dir(root, recursive=True)
+    df.select(F.col("name").cast("string"), F.col("value").cast("string")).mapInArrow(_one_file_each(out), "n long").agg(F.sum("n")).collect()
     return out
 
 
@@ -92,6 +114,13 @@ def _(t):
     return R.read_documents(t.spark, files_named(items))
 
 
+@query("read_every_document", f"""
+  SELECT 'doc_' || doc_id || '.md' AS name, trim(text, {TRIM}) AS text FROM documents WHERE trim(text, {TRIM}) <> ''""")
+def _(t):
+    docs = t.table("documents").select(F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("name"), F.col("text").alias("value"))
+    return R.read_documents(t.spark, files_named(docs))
+
+
 @query("read_profiles", "SELECT id, state, event_type, text, 'forecast' AS source FROM seasonal_texts", "seasonal_texts")
 def _(t):
     return R.read_profiles(t.spark, written(seasonal_profiles(t).withColumn("source", F.lit("forecast")), "json"))
