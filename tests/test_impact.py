@@ -73,8 +73,7 @@ def test_window_impact_equals_loops(spark, begins, ends):
     assert result(I.window_impact(shocks(spark, s), exits(spark, ends))) == brute(s, ends)
 
 
-def test_times_below_a_day_and_split_lanes(spark, monkeypatch):
-    monkeypatch.setattr(ranges, "CELLS_PER_TASK", 3)
+def test_times_below_a_day_and_split_lanes(spark):
     base = dt.datetime(2000, 6, 1, 12)
     points = [("a", "x", base + dt.timedelta(hours=7 * i)) for i in range(-40, 40)]
     anchors = [("a", base), ("a", base + dt.timedelta(hours=1)), ("a", base + dt.timedelta(days=3, seconds=1))]
@@ -82,7 +81,7 @@ def test_times_below_a_day_and_split_lanes(spark, monkeypatch):
     q = spark.createDataFrame(anchors, "k string, t timestamp_ntz")
     got = range_sums(
         p, q, by=["k"], within=["g"], point_time="at", anchor_time="t",
-        ranges={"n": (lambda t: t, lambda t: shift(t, 1)), "m": (lambda t: shift(t, -1), lambda t: t)}, reach=(1, 1),
+        ranges={"n": (lambda t: t, lambda t: shift(t, 1)), "m": (lambda t: shift(t, -1), lambda t: t)}, reach=(1, 1), cells_per_task=3,
     )
     want = {}
     for _, t in anchors:

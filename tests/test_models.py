@@ -1,6 +1,7 @@
 """Scenario export, roll-ups, folds and models on hand-made cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,25 @@ def test_folds_are_disjoint_and_balanced(spark):
     assert M.with_folds(df, "event_id").count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_groups_go_to_the_lightest_fold(spark, n):
+    rng = random.Random(n)
+    sizes = {g: rng.choice([1, 1, 1, 2, 2, 3, 7, 7, 40]) for g in range(150)} | {900: 300, 901: 299, None: 4}
+    df = spark.createDataFrame([(g,) for g, k in sizes.items() for _ in range(k)], "event_id long")
+    loads, want = [0] * n, {}
+    for g, k in sorted(sizes.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0)):
+        want[g] = loads.index(min(loads))
+        loads[want[g]] += k
+    assert {r.event_id: (r.group_rows, r.fold) for r in M.group_folds(df, "event_id", n).collect()} == {g: (sizes[g], f) for g, f in want.items()}
+    if n == 5:
+        assert max(loads) - min(loads) <= max(sizes.values())
+
+
+def test_turns_of_many_equal_groups():
+    assert M.turns([(5, 10**12)], 3) == [(5, [(0, [0, 1, 2])])]
+    assert M.turns([(100, 1), (10, 15)], 2) == [(100, [(0, [0, 1])]), (10, [(1, [1]), (11, [0, 1])])]
+
+
 def test_boosted_trees_beat_the_mean(spark):
     df = spark.range(600).select(
         F.col("id"), (F.col("id") % 40).alias("event_id"), (F.col("id") % 7).cast("double").alias("a"), (F.rand(1) * 3).alias("b")
@@ -130,7 +150,7 @@ def test_boosted_trees_beat_the_mean(spark):
     r = M.baseline_error(out, "y", "prediction").collect()[0]
     assert r.winner == "model" and r.improvement_pct > 40
     model = M.train_boosted(rows, ["a", "b"], "y", rounds=5)
-    top = M.feature_importance(model, ["a", "b"], rows).collect()
+    top = M.feature_importance(model, rows).collect()
     assert top[0].feature == "a" and abs(sum(r.importance for r in top) - 1) < 1e-6
 
 
