@@ -131,6 +131,50 @@ def test_additive_beats_the_mean_on_seasonal_data():
     assert (0 <= low).all() and (low <= value).all() and (value <= high).all()
 
 
+def test_changes_of_slope_meet_the_optimality_conditions():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 12))
+    y = x[:, 2] * 3 - x[:, 7] + rng.normal(size=60) * 0.1
+    gram, slope, penalty = x.T @ x, x.T @ y, 9.0
+    d = G.sparse_changes(gram, slope, penalty, np.zeros(12))
+    rest = slope - gram @ d
+    assert np.abs(rest).max() <= penalty + 1e-6 and (d == 0).any() and d[2] > 2
+    assert rest[d != 0] == pytest.approx(penalty * np.sign(d[d != 0]), abs=1e-6)
+
+
+def test_straight_series_bend_nowhere_and_bands_widen():
+    t = np.arange(120)
+    rng = np.random.default_rng(1)
+    straight = 50 + 0.3 * t + rng.normal(size=120)
+    value, low, high = G.additive(straight, 72)
+    assert np.abs(value - (50 + 0.3 * np.arange(120, 192))).max() < 4
+    bent = np.where(t < 60, 20 + t, 80 - 0.5 * (t - 60)) + rng.normal(size=120)
+    value, low, high = G.additive(bent, 72)
+    width = high - low
+    assert width[60:].mean() > 1.5 * width[:6].mean() and (low <= value).all() and (value <= high).all()
+    assert all(np.array_equal(a, b) for a, b in zip(G.additive(bent, 72), (value, low, high), strict=True))
+
+
+def test_bands_cover_what_comes():
+    """Near 95 % of the later months of steady series lie in the band; of series that go on bending, more than noise alone explains."""
+    rng = np.random.default_rng(3)
+    steady, bending, noise_only = [], [], []
+    for _ in range(30):
+        t = np.arange(150)
+        y = 100 + 0.2 * t + 8 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 3, 150)
+        _, low, high = G.additive(y[:120], 30)
+        steady.append(((low <= y[120:]) & (y[120:] <= high)).mean())
+        slope = np.cumsum(np.where(rng.random(150) < 0.1, rng.laplace(0, 0.4, 150), 0))
+        y = 200 + np.cumsum(slope) + rng.normal(0, 3, 150)
+        y = y - min(y.min(), 0)
+        value, low, high = G.additive(y[:120], 30)
+        bending.append(((low <= y[120:]) & (y[120:] <= high)).mean())
+        half = (high - low)[:1] / 2
+        noise_only.append((np.abs(y[120:] - value) <= half).mean())
+    assert 0.9 < np.mean(steady) <= 1
+    assert np.mean(bending) > np.mean(noise_only) + 0.1
+
+
 def test_compare_models(spark):
     rng = np.random.default_rng(5)
     named = {"season": rng.poisson(np.tile(np.arange(1, 13), 7)), "zero end": np.r_[rng.poisson(3, 72), np.zeros(12, int)], "zero": np.zeros(84, int)}
