@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shockspan.functions.columns import shift
 from shockspan.operators.impact import dedup_shocks, months_ahead, with_months
 from shockspan.operators.ranges import range_sums
+from shockspan.operators.selection import median
 from shockspan.session import stored
 
 EVENT = ["event_id", "county_id"]
@@ -62,18 +63,6 @@ def temporal_features(df: DataFrame, time: str = "begin_on") -> DataFrame:
     return df.select("*", *temporal_columns(F.col(time)))
 
 
-def median(df: DataFrame, column: str, weight: str | None = None) -> Column:
-    """Exact median as a scalar subquery, optionally of weighted rows.
-
-    Values are counted first; what meets in one place is one entry per distinct
-    value, not the rows. Meant for columns of few distinct values (days, half counts);
-    a column of arbitrary numbers would bring all of them to one task.
-    """
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(n.alias("_n"))
-    return counted.select(F.percentile(F.col(column), F.lit(0.5), F.col("_n"))).scalar()
-
-
 def durations(facts: DataFrame, shocks: DataFrame) -> DataFrame:
     """Days from begin to end per shock of the facts; open ends get the median of
     the fact rows, negatives 0."""
