@@ -11,6 +11,7 @@ from shockspan.functions.columns import WHITESPACE, type_key
 from shockspan.functions.lexicon import STATE_CODES, Lexicon
 from shockspan.operators import context as C
 from shockspan.operators import export as E
+from shockspan.operators import index as IX
 from shockspan.operators import narrative as N
 from shockspan.operators import retrieval as R
 from shockspan.operators import routing as Q
@@ -188,12 +189,37 @@ def _(t):
       WHERE {filter_sql("c.state = q.state", "c.event_type = q.event_type", "c.category", "q.id % 5 < 2", "q.id % 7 < 3")}))
   WHERE rank <= 3""", "stored_vectors")
 def _(t):
+    return R.topk_cosine(stored_vectors(t), every_asks(t), 3)
+
+
+def every_asks(t):
     """Every stored vector asks, under one of the four filter modes."""
-    base, i = stored_vectors(t), F.col("id")
-    asked = base.select(
+    i = F.col("id")
+    return stored_vectors(t).select(
         i.alias("query_id"), F.when(i % 5 < 2, F.col("state")).alias("state"), F.when(i % 7 < 3, F.col("event_type")).alias("event_type"), "embedding"
     )
-    return R.topk_cosine(base, asked, 3)
+
+
+@query("topk_index")
+def _(t):
+    """The same questions through the index; approximate, so without SQL."""
+    return indexed_hits(stored_vectors(t), every_asks(t), 3)
+
+
+def indexed_hits(base, asked, k):
+    index = IX.built(base)
+    return IX.search(index, asked, k, IX.probes_for(index, asked, k))
+
+
+@query("topk_index_recall", """
+  SELECT count(*) AS n_exact, true AS enough FROM (
+    SELECT q.id, row_number() OVER (PARTITION BY q.id) AS r FROM stored_vectors q CROSS JOIN stored_vectors c
+    WHERE """ + filter_sql("c.state = q.state", "c.event_type = q.event_type", "c.category", "q.id % 5 < 2", "q.id % 7 < 3") + """) WHERE r <= 3""", "stored_vectors")
+def _(t):
+    """How many of the exact hits of every stored vector the index finds."""
+    base, asked = stored_vectors(t), every_asks(t)
+    out = IX.recall(indexed_hits(base, asked, 3), R.topk_cosine(base, asked, 3))
+    return out.select("n_exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
 # ---- questions -------------------------------------------------------------
