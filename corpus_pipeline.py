@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shockspan.llm import decontaminate, line_dedup, near_copies, packing, toxicity
+from shockspan.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from shockspan.session import stored
 
 
@@ -23,8 +23,8 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word shingles that of the smallest doc_id stays."""
-    return near_copies.one_of_each(docs)
+    """Of documents whose fingerprints link up, that of the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
