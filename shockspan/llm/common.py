@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -72,6 +74,34 @@ def text_parts(texts: pa.Array) -> Iterator[list[str | None]]:
         yield part.column(0).to_pylist()
 
 
+#: Tables that workers of this process keep from task to task.
+kept_tables: list[dict] = []
+
+
+def give_back(keep: bool = False) -> None:
+    """Hand unused memory back to the system, for workers outlive their tasks; ``keep`` spares the kept tables."""
+    if not keep:
+        for table in kept_tables:
+            table.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
+    """A task function that gives its memory back when the task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back(keep)
+
+    return wrapped
+
+
 def sampled(rows: DataFrame, id_column: Column, most: int, by: Column | None = None) -> DataFrame:
     """About ``most`` rows at most, chosen by a hash of the id; all rows where they are fewer.
 

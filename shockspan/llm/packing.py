@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockspan.llm.common import id_or_null, packed, slices
+from shockspan.llm.common import id_or_null, kept_tables, packed, slices, trimmed
 from shockspan.session import stored
 
 CAPACITY, END, GROUP = 1024, 2, 16384
@@ -65,6 +65,7 @@ class Tokens:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[str, bytes] = {}
+        kept_tables.append(self.known)  # other operators' tasks empty it
 
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -183,7 +184,7 @@ def pack(
     max_docs, max_cost = max_docs or capacity, max_cost or float(capacity) ** 2
     if max_docs < 1 or max_cost < float(capacity) ** 2:
         raise ValueError("a full piece must fit into an empty sequence")
-    found = packed(docs, id_col, text_col).select("id", "text").mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), schema)
+    found = packed(docs, id_col, text_col).select("id", "text").mapInArrow(trimmed(_pieces(tokenizer or default_tokenizer(), capacity), keep=True), schema)
     found = stored(found, "pieces")
     lots = max(1, -(-found.count() // group))
     lot = F.pmod(F.xxhash64("id", "piece", "start", F.monotonically_increasing_id()), F.lit(lots))

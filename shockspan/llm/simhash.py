@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shockspan.llm.common import NO_ID, id_or_null, packed, slices
+from shockspan.llm.common import NO_ID, id_or_null, packed, slices, trimmed
 from shockspan.llm.components import roots
 from shockspan.session import stored
 
@@ -131,8 +131,8 @@ def near_links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     ``classes``: distinct fingerprints fp.
     """
     prints = classes.select("fp")
-    home = prints.mapInArrow(_anchored(0), "fp long, anchor long")
-    reached = prints.mapInArrow(_anchored(DISTANCE), "fp long, anchor long")
+    home = prints.mapInArrow(trimmed(_anchored(0)), "fp long, anchor long")
+    reached = prints.mapInArrow(trimmed(_anchored(DISTANCE)), "fp long, anchor long")
     crowded = stored(home.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor"), "crowded")
     quiet = home.join(crowded, "anchor", "left_anti").select("anchor", F.col("fp").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= DISTANCE
@@ -148,7 +148,7 @@ def near_links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
 def _classified(docs: DataFrame, id_col: str, text_col: str, crowd: int) -> DataFrame:
     """id, th (a hash of the text), fp and component, the least id of the component, of every row."""
     base = packed(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("th"))
-    prints = stored(base.mapInArrow(_fingerprints, "id long, th long, fp long"), "fingerprints")
+    prints = stored(base.mapInArrow(trimmed(_fingerprints), "id long, th long, fp long"), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     root = roots(near_links(classes, crowd))
     rooted = classes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -29,16 +29,15 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shockspan.llm.common import fold, named, sampled, text_parts
+from shockspan.llm.common import fold, give_back, named, sampled, text_parts, trimmed
 from shockspan.llm.quality import best_label
 from shockspan.session import stored
 
@@ -196,7 +195,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(sample: DataFrame, most: int = CANDIDATES) -> list[str]:
     """Words and stems of toxic documents mainly, those in most of them first."""
-    parts = sample.filter("label >= 0").select("text", "label").mapInArrow(_candidates, "word string, t long, n long")
+    parts = sample.filter("label >= 0").select("text", "label").mapInArrow(trimmed(_candidates), "word string, t long, n long")
     totals = {r["label"]: r["count"] for r in sample.filter("label >= 0").groupBy("label").count().collect()}
     counts = parts.groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     lift = F.col("t") * totals.get(0, 0) / ((F.col("n") - F.col("t") + 0.5) * max(1, totals.get(1, 0)))
@@ -228,6 +227,19 @@ def chosen_voters(fired: list[list[int]], n_lexicon: int, most: int = MINED) ->
     return out
 
 
+def over_texts(voters: Callable[[str | None], list[int]]):
+    """A function of a text column that gives the voters of every text, a slice at a time."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in columns:
+                yield pa.array([voters(t) for part in text_parts(texts) for t in part], pa.list_(pa.int32()))
+        finally:
+            give_back()
+
+    return F.arrow_udf(run, "array<int>")
+
+
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Voters:
     """Voters and weights; ``learn`` says of an id (``label_id``) if it may be learnt from."""
     marks = best_label(labels, id_col, label_col).filter(learn)
@@ -239,13 +251,13 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
     lexicon = list(dict.fromkeys(LEXICON))
     place = {w: i for i, w in enumerate(dict.fromkeys([*lexicon, *candidates(sample)]))}
     lengths = stems_of(place)
-    fire = F.pandas_udf(lambda s: pd.Series([[place[w] for w in hits(words_of(t), place, lengths)] for t in s]), "array<int>")
+    fire = over_texts(lambda t: [place[w] for w in hits(words_of(t), place, lengths)])
     toxic = sample.filter("label = 1").select(fire("text").alias("fired")).toPandas()["fired"]
     names = list(place)
     taken = chosen_voters([list(f) for f in toxic], len(lexicon))
     final = {w: i for i, w in enumerate([*lexicon, *[names[i] for i in taken]])}
     ends = stems_of(final)
-    fire = F.pandas_udf(lambda s: pd.Series([votes(t, final, ends) for t in s]), "array<int>")
+    fire = over_texts(lambda t: votes(t, final, ends))
     got = sample.select("label_id", "label", fire("text").alias("fired")).toPandas().sort_values(["label_id", "label"], kind="stable")
     return trained(final, [list(f) for f in got["fired"]], got["label"].to_numpy())
 
@@ -253,9 +265,13 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
 def score(model: Voters, text: Column) -> Column:
     lengths = stems_of(model.place)
 
-    def run(texts: pa.Array) -> pa.Array:
-        found = [model.score([votes(t, model.place, lengths) for t in part]) for part in text_parts(texts)]
-        return pa.array(np.concatenate(found) if found else [], pa.float64())
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in columns:
+                found = [model.score([votes(t, model.place, lengths) for t in part]) for part in text_parts(texts)]
+                yield pa.array(np.concatenate(found) if found else [], pa.float64())
+        finally:
+            give_back()
 
     return F.arrow_udf(run, "double")(text)
 

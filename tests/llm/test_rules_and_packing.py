@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    names = {f"op{n}_" for n in range(1, 11)}
+    names = {f"op{n}_" for n in range(1, 14)}
     assert {k[: k.index("_") + 1] for k in queries.QUERIES} == names
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
