@@ -11,10 +11,12 @@ is a hot key of a join only, which adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shockspan.session import stored
@@ -47,25 +49,35 @@ def times(weights: DataFrame, on: str, to: str, vectors: DataFrame, width: int)
     return rows.groupBy(to).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in _names(width)])
 
 
+def _array(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("key", "word")], axis=1)
+
+
 def gram(vectors: DataFrame, width: int) -> np.ndarray:
-    c = _names(width)
-    pairs = [(i, j) for i in range(width) for j in range(i + 1)]
-    sums = vectors.agg(*[F.sum(F.col(c[i]) * F.col(c[j])) for i, j in pairs]).first()
-    out = np.zeros((width, width))
-    for (i, j), s in zip(pairs, sums, strict=True):
-        out[i, j] = out[j, i] = s or 0.0
-    return out
+    """Products of the columns, summed over all rows; a task sends one small matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((width, width))
+        for batch in batches:
+            x = _array(batch)
+            whole += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(width * width), pa.int32()), pa.array(whole.ravel())], names=["at", "s"])
+
+    parts = vectors.select(*_names(width)).mapInArrow(run, "at int, s double")
+    sums = {r["at"]: r["s"] for r in parts.groupBy("at").agg(F.sum("s").alias("s")).collect()}
+    return np.array([sums.get(i, 0.0) for i in range(width * width)]).reshape(width, width)
 
 
 def combined(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
     """Every row's vector times the small matrix ``by``."""
-    sums: list[Column] = []
-    for j in range(by.shape[1]):
-        whole = F.lit(0.0)
-        for i in range(by.shape[0]):
-            whole = whole + F.col(f"c{i}") * F.lit(float(by[i, j]))
-        sums.append(whole.alias(f"c{j}"))
-    return vectors.select(key, *sums)
+    names = _names(by.shape[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _array(batch) @ by
+            yield pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, x.T)], names=[key, *names])
+
+    return vectors.mapInArrow(run, f"{key} {dict(vectors.dtypes)[key]}, " + ", ".join(f"{c} double" for c in names))
 
 
 def orthogonal(vectors: DataFrame, key: str, width: int) -> tuple[DataFrame, int]:

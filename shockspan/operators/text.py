@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shockspan.functions.columns import first_match, strip
@@ -129,6 +129,42 @@ def upsert_chunks(target: DataFrame, batch: DataFrame, key: str = "id", order: s
     return target.join(batch.select(key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
+def parted(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """The rows with ``part``, the folder of a keyed table that a key lies in."""
+    return df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+
+
+def create_keyed(df: DataFrame, path: str, key: str, parts: int = 64) -> None:
+    """Write a table by folders of its key's hash, for ``upsert_keyed``."""
+    rows = parted(df, key, parts)
+    rows.repartition(parts, "part").write.partitionBy("part").parquet(path)
+
+
+def upsert_keyed(spark: SparkSession, path: str, batch: DataFrame, key: str, order: str | None = None, parts: int = 64) -> None:
+    """Insert or replace the batch's rows in a table of ``create_keyed``, in place.
+
+    Only folders that the batch's keys fall into are read and rewritten, by a dynamic
+    partition overwrite, which replaces a folder when its new files are complete; all
+    others keep their files. Of a key's rows within the batch the one with the largest
+    ``order`` wins (then the largest row). A rerun of the same batch changes no row. The
+    new folders' rows are written aside first, since a folder cannot be read while it is
+    replaced. One job may write a table at a time.
+    """
+    target = spark.read.parquet(path)
+    columns = [c for c in target.columns if c != "part"]
+    rest = [c for c in columns if c != key]
+    last = F.max(F.struct(*([order] if order else []), F.struct(*rest).alias("_row"))).alias("_r")
+    new = batch.groupBy(key).agg(last).select(key, "_r._row.*")
+    new = stored(parted(new, key, parts), "batch")
+    touched = [r.part for r in new.select("part").distinct().collect()]  # folder numbers only
+    if not touched:
+        return
+    keys = new.select(F.col(key).alias("_key"))
+    old = target.filter(F.col("part").isin(touched)).join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    merged = stored(old.select(*columns, "part").unionByName(new.select(*columns, "part")), "merged")
+    merged.repartition(len(touched), "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def hashed_words(df: DataFrame, key: str, text: str, size: int = 64, out: str = "embedding") -> DataFrame:
     """A vector without a model per ``key``: counts of words by a stable hash of the word.
 

@@ -12,6 +12,7 @@ from shockspan.functions.lexicon import STATE_CODES, Lexicon
 from shockspan.operators import context as C
 from shockspan.operators import export as E
 from shockspan.operators import index as IX
+from shockspan.operators import latent as L
 from shockspan.operators import narrative as N
 from shockspan.operators import retrieval as R
 from shockspan.operators import routing as Q
@@ -19,6 +20,7 @@ from shockspan.operators import text as X
 from shockspan.plans.dashboard_plans import forecast_blocks, label, num, q, quoted, seasonal_profiles, sql_list
 from shockspan.plans.registry import query, view
 from shockspan.plans.serving_plans import TYPE, outlook, regions, scenarios
+from shockspan.session import scratch_path
 
 # The questions are invented prose, so routing is bound to words that occur in it.
 ASIA = [f"NATION_{i}" for i in (2, 7, 12, 17, 22)]
@@ -115,6 +117,22 @@ def _(t):
     return X.upsert_chunks(old, new, "doc_id", "seq")
 
 
+@query("upsert_keyed", """
+  SELECT doc_id, quality, toxic, text, newer FROM (
+    SELECT d.doc_id, NULL::INT AS quality, NULL::INT AS toxic, text, 0 AS newer FROM documents d
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 7 = 0)
+    UNION ALL SELECT doc_id, arg_max(quality, (toxic, quality)), max(toxic), NULL, 1 FROM labels WHERE doc_id % 7 = 0 GROUP BY doc_id)""")
+def _(t):
+    """The same in place: only the folders of the new keys are rewritten."""
+    none = F.lit(None).cast("int")
+    path = scratch_path(t.spark, "keyed")
+    old = t.table("documents").select("doc_id", none.alias("quality"), none.alias("toxic"), "text", F.lit(0).alias("newer"))
+    X.create_keyed(old, path, "doc_id", 8)
+    new = t.table("labels").filter("doc_id % 7 = 0").select("doc_id", "quality", "toxic", F.lit(None).cast("string").alias("text"), F.lit(1).alias("newer"))
+    X.upsert_keyed(t.spark, path, new, "doc_id", "toxic", 8)
+    return t.spark.read.parquet(path).drop("part")
+
+
 @query("hashed_words", """
   SELECT id, array_to_string(list(coalesce(n, 0) ORDER BY slot), ' ') AS counts
   FROM (SELECT DISTINCT id FROM chunks) CROSS JOIN (SELECT unnest(range(64)) AS slot)
@@ -222,6 +240,35 @@ def _(t):
     return out.select("n_exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query("tfidf", r"""
+  WITH words AS (SELECT doc_id AS key, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS word FROM documents),
+  counts AS MATERIALIZED (SELECT key, word, count(*) AS n FROM words WHERE word <> '' GROUP BY ALL),
+  idf AS (SELECT word, ln((1.0 + (SELECT count(DISTINCT key) FROM counts)) / (1 + count(*))) + 1 AS idf FROM counts GROUP BY word),
+  raw AS (SELECT key, word, n * idf AS w FROM counts JOIN idf USING (word))
+  SELECT key, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY key)), 6) AS w FROM raw""")
+def _(t):
+    return L.tfidf(documents(t), "doc_id", "text").withColumn("w", F.round("w", 6))
+
+
+#: Coordinates of the registered text vectors.
+LATENT = 16
+
+
+@query("topk_latent")
+def _(t):
+    """Each user turn's most similar documents, by vectors fitted on the documents; without SQL."""
+    weights = t.stage("weights", lambda: L.tfidf(documents(t), "doc_id", "text"))
+    space = L.fitted(weights, LATENT)
+    none = F.lit(None).cast("string")
+    docs = space.embedded(weights).select(
+        F.col("key").alias("id"), F.lit("general").alias("category"), none.alias("state"), none.alias("event_type"), "embedding"
+    )
+    asked = space.embedded(L.tfidf(questions(t), "query_id", "message")).select(
+        F.col("key").alias("query_id"), none.alias("state"), none.alias("event_type"), "embedding"
+    )
+    return R.topk_cosine(docs, asked, 3)
+
+
 # ---- questions -------------------------------------------------------------
 view("questions", """
   SELECT conv_id * 1000 + turn AS query_id, text AS message,
