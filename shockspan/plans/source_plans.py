@@ -45,11 +45,12 @@ def _(t):
     return R.read_csv_dates(t.spark, written(raw, "csv", escape='"'), raw.schema, escape='"')
 
 
-@query("read_persons", """
+PERSON_JOBS = """
   SELECT title, strftime(started_on, '%Y-%m-%d') AS started_at, ended_at, county_id, locality, region, company, industry, persons
-  FROM person_jobs, (SELECT count(DISTINCT l_orderkey) AS persons FROM jobs)""", "person_jobs", "jobs")
-def _(t):
-    people = R.read_persons(t.spark, written(t.persons.select("jobs"), "json"))
+  FROM person_jobs, (SELECT count(DISTINCT l_orderkey) AS persons FROM jobs)"""
+
+
+def jobs_of(people):
     n = people.select(F.count(F.lit(1))).scalar()
     return people.select(F.explode("jobs").alias("j")).select(
         "j.title", "j.started_at", "j.ended_at", "j.location_details.county_id", "j.location_details.locality", "j.location_details.region",
@@ -57,6 +58,29 @@ def _(t):
     )
 
 
+@query("read_persons", PERSON_JOBS, "person_jobs", "jobs")
+def _(t):
+    return jobs_of(R.read_persons(t.spark, written(t.persons.select("jobs"), "json")))
+
+
+def _bracketed(batches):
+    """The lines of a task as one array."""
+    comma = ""
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    for batch in batches:
+        lines = [comma + x for x in batch.column(0).to_pylist()[:1]] + ["," + x for x in batch.column(0).to_pylist()[1:]]
+        comma = "," if lines else comma
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+@query("read_persons_arrays", PERSON_JOBS, "person_jobs", "jobs")
+def _(t):
+    """The same persons from files that are one array each."""
+    lines = t.persons.select(F.to_json(F.struct("jobs")).alias("value"))
+    return jobs_of(R.read_persons(t.spark, written(lines.mapInArrow(_bracketed, "value string"), "text"), one_array=True))
+
+
 @query("read_predictions", """
   SELECT s.county_id, state, s.event_type, region, sector, job_loss_pct, job_change_pct, recovery_months, peak_month
   FROM scenarios s JOIN regions_of USING (county_id)""", "scenarios", "regions_of")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from shockspan.functions.columns import strip, type_key
 from shockspan.operators.impact import county_key
+from shockspan.sources.arrays import read_json_array
 
 DECLARATION_COLUMNS = [
     "event_id", "state", "level", "event_type", "title", "begin_on", "end_on", "state_code", "county_code", "area",
@@ -55,10 +56,14 @@ def read_declarations(spark: SparkSession, path: str, schema: T.StructType) -> D
     )
 
 
+def read_objects(spark: SparkSession, path: str, schema: str, one_array: bool = False) -> DataFrame:
+    """JSON objects, one per line; ``one_array`` for files that are one array each, read by byte ranges."""
+    return read_json_array(spark, path, schema) if one_array else spark.read.schema(schema).json(path)
+
+
 def read_persons(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
-    """Employment histories, one person per line; ``one_array`` for a file that is one
-    JSON array, which Spark cannot split."""
-    return spark.read.schema(PERSONS).json(path, multiLine=one_array)
+    """Employment histories, one person per line or all in one array."""
+    return read_objects(spark, path, PERSONS, one_array)
 
 
 def read_predictions(spark: SparkSession, path: str, states: DataFrame, one_array: bool = False) -> DataFrame:
@@ -66,7 +71,7 @@ def read_predictions(spark: SparkSession, path: str, states: DataFrame, one_arra
 
     ``states`` maps the two-character prefix to a state; unknown prefixes give ''.
     """
-    rows = spark.read.schema(PREDICTIONS).json(path, multiLine=one_array)
+    rows = read_objects(spark, path, PREDICTIONS, one_array)
     rows = rows.select("county_id", "event_type", F.coalesce("region", "county_id").alias("region"), F.explode("predictions").alias("sector", "p"))
     found = rows.withColumn("prefix", F.substring("county_id", 1, 2)).join(states.select("prefix", F.col("state").alias("_s")), "prefix", "left")
     return found.select(
@@ -103,7 +108,7 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.md") -> DataFr
 
 
 def read_profiles(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
-    return spark.read.schema(PROFILES).json(path, multiLine=one_array)
+    return read_objects(spark, path, PROFILES, one_array)
 
 
 def read_optional(spark: SparkSession, paths: list[str], schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
