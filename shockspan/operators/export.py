@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shockspan.functions.columns import clamp, half_even, month_index, type_key
+from shockspan.operators.serving import lookup
 from shockspan.session import stored
 
 CAP = 95
@@ -168,3 +169,19 @@ def resolve_prediction(requests: DataFrame, scenarios: DataFrame) -> DataFrame:
     by_state = stored(rollup_state(scenarios).select("event_type", "state", *values), "by-state")
     fallback = rest.join(by_state.withColumn("source", F.lit("state")), ["event_type", "state"], "left")
     return exact.unionByName(fallback)
+
+
+def resolve_one(exact: DataFrame, by_state: DataFrame, event_type: str, county_id: str, state: str) -> DataFrame:
+    """The answer of ``resolve_prediction`` to one request, from tables of ``write_for_lookups``.
+
+    ``exact`` is sorted by county and type, ``by_state`` (``rollup_state``) by state and type;
+    each is one look-up, no row of another key is read but those of its row group.
+    """
+    values = ["event_type", "sector", "job_loss_pct", "job_change_pct", "recovery_months", "peak_month"]
+    asked = [F.lit(event_type).alias("event_type"), F.lit(county_id).alias("county_id"), F.lit(state).alias("state")]
+    found = lookup(exact, {"county_id": county_id, "event_type": event_type}).select(*values).withColumn("source", F.lit("county"))
+    wider = lookup(by_state, {"state": state, "event_type": event_type}).select(*values).withColumn("source", F.lit("state"))
+    known = found.agg(F.count(F.lit(1)) > 0).scalar()
+    both = found.unionByName(wider.filter(~known))
+    request = exact.sparkSession.range(1).select(*asked)
+    return request.join(both, "event_type", "left")

@@ -21,6 +21,32 @@ def point_lookup(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.filter(F.col(column) == value).limit(1)
 
 
+def write_for_lookups(df: DataFrame, path: str, keys: list[str], group_bytes: int = 16 << 20, distinct: int = 1_000_000) -> None:
+    """Write a table for look-ups by its keys: sorted by them, with Bloom filters on each.
+
+    Rows of a key lie in few row groups, whose ranges and filters let a scan with an equality on
+    any of the keys pass over the others. ``distinct`` sizes the filters (about 1.2 bytes a
+    value): the values of a row group, not of the table. Null keys come first. A key that holds many
+    rows is spread over several files by the other columns' hash, so no task gets all of them.
+    """
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys] or keys), F.lit(1024))
+    ordered = df.withColumn("_spread", spread).repartitionByRange(*keys, "_spread").sortWithinPartitions(*keys, "_spread").drop("_spread")
+    options = {"parquet.block.size": group_bytes}
+    for k in keys:
+        options |= {f"parquet.bloom.filter.enabled#{k}": True, f"parquet.bloom.filter.expected.ndv#{k}": distinct}
+    ordered.write.options(**options).parquet(path)
+
+
+def lookup(table: DataFrame, keys: dict[str, object]) -> DataFrame:
+    """All rows of the keys, each compared in its column's own type, so that the scan can skip.
+
+    None finds nulls; text that is no value of the type finds nothing.
+    """
+    types = {f.name: f.dataType for f in table.schema}
+    tests = [F.col(k).isNull() if v is None else F.col(k) == F.lit(v).try_cast(types[k]) for k, v in keys.items()]
+    return table.filter(reduce(lambda a, b: a & b, tests))
+
+
 def list_limit(df: DataFrame, order: str, n: int = 200) -> DataFrame:
     if not 1 <= n <= 1000:
         raise ValueError("limit must lie in 1..1000")

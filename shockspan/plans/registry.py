@@ -34,9 +34,9 @@ DATES = {
         BEGIN,
     ),
     **dict.fromkeys(
-        ["major_only", "overlap_filter", "duration_join", "feature_matrix", "point_lookup", "list_limit", "read_declarations"], SPAN
+        ["major_only", "overlap_filter", "duration_join", "feature_matrix", "point_lookup", "point_lookup_sorted", "list_limit", "read_declarations"], SPAN
     ),
-    "dataset_summary": ("first_time", "last_time"),
+    **dict.fromkeys(["dataset_summary", "dataset_summary_days"], ("first_time", "last_time")),
     "next12_peak": ("peak_month",),
     "flatten_exits": ("started_on", "ended_on", "end_month"),
     "chart_meta": ("data_start", "data_end", "forecast_start", "forecast_end"),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from shockspan.operators import forecast as P
 from shockspan.operators import series as S
+from shockspan.operators import sketches as K
 from shockspan.plans.registry import query, view
+from shockspan.session import stored
 
 view("monthly", """
   SELECT state, event_type, date_trunc('month', begin_on)::DATE AS month, count(*) AS n
@@ -232,6 +234,23 @@ def _(t):
     return S.dataset_summary(t.shocks.select(*keep, "begin_on", "end_on"), "begin_on", keep)
 
 
+@query("dataset_summary_days", """
+  SELECT count(*) AS n_rows, min(begin_on) AS first_time, max(begin_on) AS last_time,
+         (max(year(begin_on)) - min(year(begin_on)) + 1)::INT AS n_years,
+         count(*) FILTER (WHERE end_on IS NULL) AS nulls_end_on,
+         true AS state_within, true AS county_id_within, true AS event_type_within, true AS event_id_within
+  FROM shocks WHERE begin_on BETWEEN DATE '1993-01-01' AND DATE '1997-06-30'""", "shocks")
+def _(t):
+    """Sketches of all days, then a span of them; estimates lie within four errors of the exact counts."""
+    keep, span = ["state", "county_id", "event_type", "event_id"], ("1993-01-01", "1997-06-30")
+    shocks = t.shocks.select(*keep, "begin_on", "end_on")
+    near = K.summary_of_days(stored(K.daily_sketches(shocks, "begin_on", keep), "days"), *span)
+    own = shocks.filter(F.col("begin_on").between(*[F.lit(x).cast("date") for x in span]))
+    exact = {c: own.select(c).distinct().select(F.count(c)).scalar() for c in keep}
+    within = [(F.abs(F.col(f"n_{c}") - n) <= 4 * K.relative_error() * n).alias(f"{c}_within") for c, n in exact.items()]
+    return near.select("n_rows", "first_time", "last_time", "n_years", "nulls_end_on", *within)
+
+
 @query("calendar_fill", "SELECT * FROM filled", "filled")
 def _(t):
     return filled(t)

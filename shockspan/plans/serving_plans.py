@@ -12,6 +12,7 @@ from shockspan.operators import serving as V
 from shockspan.plans import series_plans as SP
 from shockspan.plans.feature_plans import sector_exits
 from shockspan.plans.registry import query, view
+from shockspan.session import scratch_path
 
 TYPE = "replace(lower(event_type), ' ', '_')"
 
@@ -289,6 +290,42 @@ def _(t):
     return V.point_lookup(t.shocks, "event_id", "77")
 
 
+def for_lookups(df, keys):
+    path = scratch_path(df.sparkSession, "lookups")
+    V.write_for_lookups(df, path, keys)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@query("point_lookup_sorted", "SELECT * FROM shocks WHERE event_id = 77", "shocks")
+def _(t):
+    return V.lookup(for_lookups(t.shocks, ["event_id"]), {"event_id": "77"})
+
+
+ASKED = ("5-low", "003", "NATION_3")
+
+
+view("asked", f"""
+  SELECT '{ASKED[0]}' AS event_type, max(county_id) AS county_id, max(state) AS state FROM scenarios WHERE event_type = '{ASKED[0]}'
+  UNION ALL SELECT '{ASKED[0]}', '{ASKED[1]}', '{ASKED[2]}' UNION ALL SELECT '{ASKED[0]}', '{ASKED[1]}', 'nowhere'""", "scenarios")
+
+
+@query("resolve_one", """
+  SELECT a.*, s.sector, s.job_loss_pct, s.job_change_pct, s.recovery_months, s.peak_month, 'county' AS source
+  FROM asked a JOIN scenarios s ON s.event_type = a.event_type AND s.county_id = a.county_id
+  UNION ALL
+  SELECT a.*, s.sector, s.job_loss_pct, s.job_change_pct, s.recovery_months, s.peak_month, CASE WHEN s.sector IS NOT NULL THEN 'state' END
+  FROM asked a LEFT JOIN by_state s ON s.event_type = a.event_type AND s.state = a.state
+  WHERE NOT EXISTS (SELECT 1 FROM scenarios k WHERE k.event_type = a.event_type AND k.county_id = a.county_id)""", "scenarios", "by_state", "asked")
+def _(t):
+    """A county that has its own prediction, one that has none, and one in no known state."""
+    rows = scenarios(t)
+    exact = for_lookups(rows, ["county_id", "event_type"])
+    wider = for_lookups(E.rollup_state(rows), ["state", "event_type"])
+    last = exact.filter(F.col("event_type") == ASKED[0]).agg(F.max("county_id"), F.max("state")).first()
+    answers = [E.resolve_one(exact, wider, *request) for request in ((ASKED[0], *last), ASKED, (*ASKED[:2], "nowhere"))]
+    return answers[0].unionByName(answers[1]).unionByName(answers[2])
+
+
 @query("list_limit", "SELECT * FROM shocks ORDER BY event_id LIMIT 200", "shocks")
 def _(t):
     return V.list_limit(t.shocks, "event_id")

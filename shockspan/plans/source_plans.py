@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shockspan.operators import forecast as P
 from shockspan.operators import narrative as N
+from shockspan.operators import sketches as K
 from shockspan.plans import series_plans as SP
 from shockspan.plans.dashboard_plans import seasonal_profiles
 from shockspan.plans.registry import query
@@ -169,3 +170,15 @@ def _(t):
 def _(t):
     """One path of the JSON column, cut out without parsing the rest."""
     return t.table("events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("event_fields", """
+  SELECT f.field, count(*) AS n_rows, count(*) FILTER (WHERE json_type(props, '$.' || f.field) = 'NULL') AS n_null, 'BIGINT' AS type
+  FROM events, unnest(json_keys(props)) AS f(field) GROUP BY f.field""")
+def _(t):
+    return K.json_fields(t.table("events").select("props"), "props")
+
+
+@query("event_typed", "SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN props IS NOT NULL THEN '{}' END AS rest FROM events")
+def _(t):
+    return K.typed_fields(t.table("events").select("event_id", "props"), "props", {"k": "bigint"}).drop("props")

@@ -9,8 +9,11 @@ from shockspan.plans import catalog
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = catalog.QUERIES
 CHECKS = catalog.checks()
-# Fits whose result SQL cannot repeat; test_models covers them.
-FITS = {"negbin_forecast", "additive_forecast", "compare_models", "cross_validate", "train_boosted", "feature_importance", "predicted_scenarios"}
+# Fits whose result SQL cannot repeat; test_models, test_boosting, test_index and test_latent cover them.
+FITS = {
+    "negbin_forecast", "additive_forecast", "compare_models", "cross_validate", "train_boosted", "feature_importance", "predicted_scenarios",
+    "topk_index", "topk_latent",
+}
 
 
 @pytest.fixture(scope="module")
