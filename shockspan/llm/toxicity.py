@@ -8,15 +8,18 @@ explain toxic documents that few earlier voters explain, so the many rare words
 copies of a toxic document share do not crowd in.
 
 Label model. For a hidden class, each voter's chances of firing in toxic and in other
-documents, that is its accuracy, are estimated by expectation maximisation; labelled
-documents enter with their label held, the others of the sample with the model's own
-belief. Correlations of voters within a class are measured in every round, and a
-voter's evidence is divided by its correlation with the rest, so a word and the pattern
-that contains it do not count twice.
-
-Classifier. A logistic regression on the votes, learnt from the label model's posterior
-shares, gives the score. It is a few kilobytes and travels with the tasks; scoring is
-one pass without a shuffle.
+documents, that is its accuracy, are estimated by expectation maximisation over all
+documents that may be learnt from: labelled ones enter with their label held, the others
+with the model's own belief. Spark counts how often each pattern of votes and label
+occurs; a step is one grouped aggregate over these counts, of which a row per voter comes
+back. Correlations of voters within a class are measured in every round, and a voter's
+evidence is divided by its correlation with the rest, so a word and the pattern that
+contains it do not count twice.
+
+Classifier. A logistic regression on the votes of the sample, learnt from the label model's
+posterior shares, gives the score. Sampled documents weigh by how many labels of their class
+there are for each that was drawn, so scores do not depend on where the sample's bound cuts.
+The model is a few kilobytes and travels with the tasks; scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text has no vote but the one of finding nothing; labels
 that are null are ignored, of several labels of an id the largest counts; without
@@ -41,12 +44,14 @@ from shockspan.llm.common import fold, give_back, named, sampled, text_parts, tr
 from shockspan.llm.quality import best_label
 from shockspan.session import stored
 
-#: Labelled documents of each class, unlabelled ones, and mined words, at most.
-LABELLED, UNLABELLED, MINED = 8_000, 3_000, 400
+#: Labelled documents of each class, and mined words, at most.
+LABELLED, MINED = 8_000, 400
 #: Words that a task counts before it hands the counts on.
 HELD = 100_000
 CANDIDATES, SUPPORT, LIFT, COVER, STEMS = 30_000, 4, 12.0, 8, (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
+#: The share of toxic that a label of its own stands for.
+SURE = 0.97
 LEXICON = (
     "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "worthless", "pathetic", "disgusting", "clown",
     "dumb", "imbecile", "vermin", "filth", "retard", "bastard", "bitch", "asshole", "whore", "slut", "fuck", "fucking", "shit", "crap",
@@ -102,51 +107,77 @@ class Voters:
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
-def label_model(x: np.ndarray, label: np.ndarray, prior: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior share of toxic, correlation discount by voter).
+@dataclass
+class Beliefs:
+    """What the label model knows: chances of firing in other and in toxic documents, and
+    by how much each voter's evidence is discounted; ``base`` is the share of toxic ones."""
+
+    chance: np.ndarray
+    discount: np.ndarray
+    base: float
+
+    def evidence(self) -> tuple[np.ndarray, float]:
+        """Log-odds that a vote adds, and those of a document without any."""
+        ratio = np.log(self.chance[1] / self.chance[0]) * self.discount
+        silent = np.log((1 - self.chance[1]) / (1 - self.chance[0])) * self.discount
+        return ratio - silent, float(np.log(self.base / (1 - self.base)) + silent.sum())
+
+    def share(self, x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Posterior shares of toxic for rows of votes; a label is one more voter, wrong now and then."""
+        weight, offset = self.evidence()
+        belief = 1 / (1 + np.exp(-np.clip(x @ weight + offset, -30, 30)))
+        sure = np.where(label == 1, SURE, np.where(label == 0, 1 - SURE, 0.5))
+        return belief * sure / (belief * sure + (1 - belief) * (1 - sure))
+
+
+@dataclass
+class Sums:
+    """Over documents: how many, their shares of toxic and the squares of these; per voter, over those it fires in, the first two."""
+
+    total: np.ndarray
+    by_voter: np.ndarray
+
+
+def label_model(measure: Callable[[Beliefs | None], Sums], together: np.ndarray, prior: np.ndarray, base: float | None, rounds: int = 25) -> Beliefs:
+    """Accuracies and correlations from counts.
 
-    ``x``: votes (0 or 1) of documents by voters; ``label``: 1, 0 or -1 where unknown;
-    ``prior``: chances of firing in other and in toxic documents before any count.
+    ``measure`` adds up the documents under given beliefs, or the labelled ones alone under
+    none; ``together`` counts the documents in which two voters fire; ``prior`` holds chances
+    before any count, and ``base`` the share of toxic labels, None without labels.
     """
-    known, strength = label >= 0, 4.0
-    share = np.where(known, np.where(label == 1, 0.97, 0.03), 0.0)
-    chance, discount, base = prior.copy(), np.ones(x.shape[1]), 0.1
-    if known.any():
-        base = float(np.clip(label[known].mean(), 0.01, 0.99))
+    strength = 4.0
+    now = Beliefs(prior.copy(), np.ones(prior.shape[1]), 0.1 if base is None else float(np.clip(base, 0.01, 0.99)))
     for step in range(rounds):
-        if step or not known.any():
-            ratio = np.log(chance[1] / chance[0]) * discount
-            silent = np.log((1 - chance[1]) / (1 - chance[0])) * discount
-            raw = np.log(base / (1 - base)) + x @ (ratio - silent) + silent.sum()
-            belief = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-            # a label is one more voter, wrong now and then
-            sure = np.where(label == 1, 0.97, np.where(label == 0, 0.03, 0.5))
-            share = belief * sure / (belief * sure + (1 - belief) * (1 - sure))
-        weights = np.stack([1 - share, share])
-        if not step and known.any():
-            weights = weights * known
-        totals = weights.sum(1)
-        chance = (weights @ x + strength * prior) / (totals[:, None] + strength)
-        chance = np.clip(chance, 1e-5, 1 - 1e-5)
+        own = step == 0 and base is not None
+        sums = measure(None if own else now)
+        n, toxic, squares = sums.total
+        fired, fired_toxic = sums.by_voter.T
+        totals = np.array([n - toxic, toxic])
+        now.chance = (np.stack([fired - fired_toxic, fired_toxic]) + strength * prior) / (totals[:, None] + strength)
+        now.chance = np.clip(now.chance, 1e-5, 1 - 1e-5)
+        if own:
+            continue
         # correlation within the classes, as votes differ from their class's chance
-        off = x - (share[:, None] * chance[1] + (1 - share[:, None]) * chance[0])
-        cov = off.T @ off / max(len(x), 1)
-        sd = np.sqrt(np.diag(cov)) + 1e-9
+        low, rise = now.chance[0], now.chance[1] - now.chance[0]
+        mixed = np.outer(fired, low) + np.outer(fired_toxic, rise)
+        expected = n * np.outer(low, low) + toxic * (np.outer(low, rise) + np.outer(rise, low)) + squares * np.outer(rise, rise)
+        cov = (together - mixed - mixed.T + expected) / max(n, 1)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
         tied = np.clip(cov / sd[:, None] / sd[None, :], 0, 1)
         tied[tied < 0.1] = 0
-        discount = 1 / np.maximum(tied.sum(1), 1)
-    return share, discount
+        now.discount = 1 / np.maximum(tied.sum(1), 1)
+    return now
 
 
-def classifier(x: np.ndarray, share: np.ndarray, ridge: float = 0.2, steps: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the offset."""
+def classifier(x: np.ndarray, share: np.ndarray, weight: np.ndarray, ridge: float = 0.2, steps: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels of weighted rows by Newton steps; the last weight is the offset."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     hold[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - share) + hold * w
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(hold)
+        slope = x.T @ (weight * (p - share)) + hold * w
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(hold)
         move = np.linalg.solve(curve, slope)
         w -= move
         if np.abs(move).max() < 1e-6:
@@ -154,21 +185,78 @@ def classifier(x: np.ndarray, share: np.ndarray, ridge: float = 0.2, steps: int
     return w
 
 
-def trained(place: dict[str, int], fired: list[list[int]], label: np.ndarray) -> Voters:
-    n = len(place) + len(PATTERNS)
-    x = np.zeros((len(fired), n))
-    for row, f in enumerate(fired):
-        x[row, f] = 1
+def prior_chances(n_words: int) -> np.ndarray:
+    n = n_words + len(PATTERNS)
     prior = np.full((2, n), 0.02)
-    prior[1, : len(place)] = 0.1
-    prior[0, : len(place)] = 0.002
+    prior[1, :n_words] = 0.1
+    prior[0, :n_words] = 0.002
     prior[1, [n - 4, n - 3]], prior[0, [n - 4, n - 3]] = 0.3, 0.01
     prior[:, n - 1] = [0.97, 0.15]
+    return prior
+
+
+def class_weights(label: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """How many labels of its class a sampled row stands for, on average 1."""
+    drawn = {c: max(1, int((label == c).sum())) for c in counts}
+    weight = np.array([counts[c] / drawn[c] for c in label.tolist()], float)
+    return weight / weight.mean() if len(weight) else weight
+
+
+def trained(place: dict[str, int], fired: list[list[int]], label: np.ndarray, beliefs: Beliefs, counts: dict[int, int]) -> Voters:
+    n = len(place) + len(PATTERNS)
     if not len(fired):
-        x, label = np.zeros((2, n)), np.array([0, 1])
+        x, share = np.zeros((2, n)), np.array([1 - SURE, SURE])
         x[0, n - 1], x[1, : len(place)] = 1, 1
-    share, _ = label_model(x, label, prior)
-    return Voters(place, classifier(x, share))
+        return Voters(place, classifier(x, share, np.ones(2)))
+    x = np.zeros((len(fired), n))
+    for row, f in enumerate(fired):
+        x[row, f] = 1
+    return Voters(place, classifier(x, beliefs.share(x, label), class_weights(label, counts)))
+
+
+def vote_patterns(fired: DataFrame) -> DataFrame:
+    """How many documents (``n``) have each set of votes and label (-1: none)."""
+    rows = fired.select(F.array_sort("fired").alias("fired"), F.coalesce("label", F.lit(-1)).alias("label"))
+    return rows.groupBy("fired", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pattern_sums(patterns: DataFrame, n_voters: int) -> Callable[[Beliefs | None], Sums]:
+    """``measure`` of the label model over stored patterns: a job each, a row per voter back.
+
+    Shares are added up as decimals, so the order in which tasks end changes no digit.
+    """
+
+    def measure(beliefs: Beliefs | None) -> Sums:
+        sure = F.when(F.col("label") == 1, SURE).when(F.col("label") == 0, 1 - SURE).otherwise(0.5)
+        rows = patterns
+        if beliefs is None:
+            rows, share = patterns.filter("label >= 0"), sure
+        else:
+            weight, offset = beliefs.evidence()
+            table = F.lit(np.asarray(weight, float))
+            raw = F.aggregate("fired", F.lit(offset), lambda total, i: total + F.get(table, i))
+            belief = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), raw))))
+            share = belief * sure / (belief * sure + (1 - belief) * (1 - sure))
+        shares = rows.select("n", share.alias("s"), F.array_append("fired", F.lit(n_voters)).alias("voters"))
+        exact = [F.sum((F.col("n") * x).cast("decimal(28,10)")).cast("double") for x in (F.col("s"), F.col("s") * F.col("s"))]
+        total, by_voter = np.zeros(3), np.zeros((n_voters, 2))
+        for r in shares.select(F.explode("voters").alias("i"), "n", "s").groupBy("i").agg(F.sum("n"), *exact).collect():
+            if r[0] == n_voters:
+                total[:] = r[1:]
+            else:
+                by_voter[r[0]] = r[1:3]
+        return Sums(total, by_voter)
+
+    return measure
+
+
+def fired_together(patterns: DataFrame, n_voters: int) -> np.ndarray:
+    """The documents in which two voters fire both; the voters are bounded, so the pairs are."""
+    pairs = patterns.select("n", "fired", F.explode("fired").alias("i")).select("n", "i", F.explode("fired").alias("j"))
+    out = np.zeros((n_voters, n_voters))
+    for r in pairs.filter("i <= j").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["n"]
+    return out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +328,17 @@ def over_texts(voters: Callable[[str | None], list[int]]):
     return F.arrow_udf(run, "array<int>")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Voters:
-    """Voters and weights; ``learn`` says of an id (``label_id``) if it may be learnt from."""
+def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Voters:
+    """Voters and weights; ``learn`` says of an id (``label_id``) if it may be learnt from.
+
+    Voters are mined from, and the classifier is fitted on, a sample of at most about ``labelled``
+    labelled documents of each class; the label model counts all documents.
+    """
     marks = best_label(labels, id_col, label_col).filter(learn)
-    marks = sampled(marks, F.col("label_id"), 2 * labelled, F.col("label"))
+    drawn = sampled(marks, F.col("label_id"), 2 * labelled, F.col("label"))
     texts = docs.select(named(id_col).cast("long").alias("label_id"), named(text_col).alias("text"))
-    with_label = texts.join(F.broadcast(marks), "label_id")  # the sample is bounded
-    others = sampled(texts.filter(learn), F.col("label_id"), unlabelled).withColumn("label", F.lit(-1))
-    sample = stored(with_label.unionByName(others.select("label_id", "text", "label")), "toxic-sample")
+    with_label = texts.join(F.broadcast(drawn), "label_id")  # the sample is bounded
+    sample = stored(with_label, "toxic-sample")
     lexicon = list(dict.fromkeys(LEXICON))
     place = {w: i for i, w in enumerate(dict.fromkeys([*lexicon, *candidates(sample)]))}
     lengths = stems_of(place)
@@ -258,8 +349,15 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
     final = {w: i for i, w in enumerate([*lexicon, *[names[i] for i in taken]])}
     ends = stems_of(final)
     fire = over_texts(lambda t: votes(t, final, ends))
-    got = sample.select("label_id", "label", fire("text").alias("fired")).toPandas().sort_values(["label_id", "label"], kind="stable")
-    return trained(final, [list(f) for f in got["fired"]], got["label"].to_numpy())
+    got = sample.select("label_id", "label", fire("text").alias("fired")).select("label_id", "label", F.array_sort("fired").alias("fired"))
+    rows = sorted((r["label_id"], r["label"], r["fired"]) for r in got.collect())
+    every = texts.filter(learn).select("label_id", fire("text").alias("fired")).join(marks, "label_id", "left")
+    patterns = stored(vote_patterns(every), "toxic-patterns")
+    counts = {r["label"]: r["n"] for r in patterns.filter("label >= 0").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    base = counts.get(1, 0) / sum(counts.values()) if counts else None
+    n = len(final) + len(PATTERNS)
+    beliefs = label_model(pattern_sums(patterns, n), fired_together(patterns, n), prior_chances(len(final)), base)
+    return trained(final, [f for *_, f in rows], np.array([label for _, label, _ in rows], int), beliefs, counts)
 
 
 def score(model: Voters, text: Column) -> Column:

@@ -130,17 +130,71 @@ def test_two_steps_of_language():
     assert np.mean([c == g for (c, _), (g, _) in zip(test, got, strict=True)]) > 0.95
 
 
-def test_label_model_finds_accuracies_and_ties():
-    rng = np.random.default_rng(3)
-    y = rng.random(4000) < 0.3
-    good = np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.05)
-    other = np.where(y, rng.random(4000) < 0.7, rng.random(4000) < 0.1)
-    noise = rng.random(4000) < 0.3
+def summed(x, label):
+    """The label model's counts over rows held here."""
+
+    def measure(beliefs):
+        share = beliefs.share(x, label) if beliefs else np.where(label == 1, toxicity.SURE, 1 - toxicity.SURE)
+        known = label >= (-1 if beliefs else 0)
+        rows, s = x[known], share[known]
+        return toxicity.Sums(np.array([len(rows), s.sum(), (s * s).sum()]), np.stack([rows.sum(0), rows.T @ s], 1))
+
+    return measure
+
+
+def made_votes(seed=3, n=4000):
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    good = np.where(y, rng.random(n) < 0.8, rng.random(n) < 0.05)
+    other = np.where(y, rng.random(n) < 0.7, rng.random(n) < 0.1)
+    noise = rng.random(n) < 0.3
     x = np.stack([good, good, other, noise], 1).astype(float)
-    label = np.where(rng.random(4000) < 0.1, y, -1)
-    share, discount = toxicity.label_model(x, label, np.array([[0.05] * 4, [0.5] * 4]))
-    assert ((share > 0.5) == y).mean() > 0.9
-    assert discount[0] < 0.7 and discount[1] < 0.7 and discount[2] > 0.6
+    return x, y, np.where(rng.random(n) < 0.1, y, -1)
+
+
+PRIOR = np.array([[0.05] * 4, [0.5] * 4])
+
+
+def test_label_model_finds_accuracies_and_ties():
+    x, y, label = made_votes()
+    got = toxicity.label_model(summed(x, label), x.T @ x, PRIOR, label[label >= 0].mean())
+    assert ((got.share(x, label) > 0.5) == y).mean() > 0.9
+    assert got.discount[0] < 0.7 and got.discount[1] < 0.7 and got.discount[2] > 0.6
+    assert np.abs(got.chance[:, 2] - [0.1, 0.7]).max() < 0.1
+    alone = toxicity.label_model(summed(x, label * 0 - 1), x.T @ x, PRIOR, None)
+    assert ((alone.share(x, label * 0 - 1) > 0.5) == y).mean() > 0.85
+
+
+def test_label_model_counts_every_document_in_spark(spark):
+    x, _, label = made_votes(n=1500)
+    rows = [(np.flatnonzero(v)[::-1].tolist(), int(k) if k >= 0 else None) for v, k in zip(x, label, strict=True)]
+    patterns = toxicity.vote_patterns(spark.createDataFrame(rows, "fired array<int>, label int")).cache()
+    together = toxicity.fired_together(patterns, 4)
+    assert (together == x.T @ x).all()
+    base = label[label >= 0].mean()
+    want = toxicity.label_model(summed(x, label), x.T @ x, PRIOR, base, rounds=4)
+    got = toxicity.label_model(toxicity.pattern_sums(patterns, 4), together, PRIOR, base, rounds=4)
+    assert np.allclose(got.chance, want.chance, atol=1e-7) and np.allclose(got.discount, want.discount, atol=1e-6)
+
+
+def test_sampled_classes_weigh_what_they_stand_for():
+    label = np.array([0] * 50 + [1] * 50)
+    weight = toxicity.class_weights(label, {0: 900, 1: 100})
+    assert np.isclose(weight.mean(), 1) and np.isclose(weight[0] / weight[-1], 9)
+    assert (toxicity.class_weights(np.array([1, 1]), {1: 2}) == 1).all() and not len(toxicity.class_weights(np.zeros(0), {}))
+    offset = toxicity.classifier(np.zeros((100, 1)), label.astype(float), weight)[-1]
+    assert np.isclose(1 / (1 + np.exp(-offset)), 0.1, atol=0.01)
+
+
+def test_a_smaller_sample_keeps_the_level_of_scores(spark):
+    """The bound of the sample cuts one class more than the other; scores of clean texts stay near."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    shares = []
+    for most in (8_000, 90):
+        model = toxicity.fitted(docs, labels, toxicity.learnable(), labelled=most)
+        shares.append(docs.select(toxicity.score(model, F.col("text")).alias("s")).agg(F.avg((F.col("s") >= 0.7).cast("int"))).first()[0])
+    assert abs(shares[0] - shares[1]) < 0.04
 
 
 def test_mined_voters_need_little_overlap():
