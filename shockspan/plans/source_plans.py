@@ -61,7 +61,7 @@ def jobs_of(people):
 
 @query("read_persons", PERSON_JOBS, "person_jobs", "jobs")
 def _(t):
-    return jobs_of(R.read_persons(t.spark, written(t.persons.select("jobs"), "json")))
+    return jobs_of(R.read_persons(t.spark, written(t.persons.select("jobs"), "json", compression="gzip")))
 
 
 def _bracketed(batches):
