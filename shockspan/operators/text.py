@@ -135,9 +135,12 @@ def parted(df: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 def create_keyed(df: DataFrame, path: str, key: str, parts: int = 64) -> None:
-    """Write a table by folders of its key's hash, for ``upsert_keyed``."""
+    """Write a table by folders of its key's hash, for ``upsert_keyed``.
+
+    Adaptive execution cuts a large folder into tasks and files of its advisory size.
+    """
     rows = parted(df, key, parts)
-    rows.repartition(parts, "part").write.partitionBy("part").parquet(path)
+    rows.hint("rebalance", "part").write.partitionBy("part").parquet(path)
 
 
 def upsert_keyed(spark: SparkSession, path: str, batch: DataFrame, key: str, order: str | None = None, parts: int = 64) -> None:
@@ -162,7 +165,7 @@ def upsert_keyed(spark: SparkSession, path: str, batch: DataFrame, key: str, ord
     keys = new.select(F.col(key).alias("_key"))
     old = target.filter(F.col("part").isin(touched)).join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
     merged = stored(old.select(*columns, "part").unionByName(new.select(*columns, "part")), "merged")
-    merged.repartition(len(touched), "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    merged.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def hashed_words(df: DataFrame, key: str, text: str, size: int = 64, out: str = "embedding") -> DataFrame:
