@@ -30,6 +30,8 @@ from shockspan.session import stored
 #: Vectors that the centres are fitted on, at most, about; every row is indexed.
 SAMPLE = 100_000
 SHARE, LOT = 32_768, 4096
+#: Products of rows and centres that a task holds at a time, whatever the number of cells.
+PRODUCTS = 1 << 19
 
 
 @dataclass
@@ -52,13 +54,16 @@ def unit(vector: str) -> Column:
 def nearest_cells(df: DataFrame, vector: str, centres: np.ndarray, n: int, out: str) -> DataFrame:
     """The ``n`` nearest centres of every row, nearest first; ties go to the lower cell."""
     names = [f.name for f in df.schema]
+    step = max(1, PRODUCTS // max(1, len(centres)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = flat.reshape(batch.num_rows, -1)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            near = np.argsort(-np.round(x @ centres.T, 12), axis=1, kind="stable")[:, :n].astype(np.int32)
+            near = np.empty((len(x), min(n, len(centres))), np.int32)
+            for i in range(0, len(x), step):
+                near[i : i + step] = np.argsort(-np.round(x[i : i + step] @ centres.T, 12), axis=1, kind="stable")[:, :n]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, out])
 
