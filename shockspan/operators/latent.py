@@ -29,14 +29,16 @@ def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, word, w: ``count * (ln((1 + N) / (1 + texts with the word)) + 1)``, each text at length 1.
 
     Words are lower-cased and stand between ASCII white space; texts without words have no rows.
+    Both small sides are stored before they join, so that their size is known and the counts
+    stay where they are as long as it is below the broadcast threshold.
     """
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     counts = stored(df.select(F.col(key).alias("key"), F.explode(words).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")), "counts")
     n = counts.select("key").distinct().count()
     idf = counts.groupBy("word").agg((F.log((n + F.lit(1.0)) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
-    raw = stored(counts.join(idf, "word").select("key", "word", (F.col("n") * F.col("idf")).alias("w")), "weights")
+    raw = stored(counts.join(stored(idf, "idf"), "word").select("key", "word", (F.col("n") * F.col("idf")).alias("w")), "weights")
     norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "key").select("key", "word", (F.col("w") / F.col("norm")).alias("w"))
+    return raw.join(stored(norm, "norm"), "key").select("key", "word", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def _names(width: int) -> list[str]:
