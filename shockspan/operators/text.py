@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shockspan.functions.columns import first_match, strip
 from shockspan.session import stored
@@ -172,14 +179,23 @@ def hashed_words(df: DataFrame, key: str, text: str, size: int = 64, out: str =
     """A vector without a model per ``key``: counts of words by a stable hash of the word.
 
     A sentence encoder is the caller's own (an Arrow function over ``text``); this one
-    needs none. Words combine per key and slot before the shuffle.
+    needs none. Each row's words become its ``size`` counts where the row is, so rows of
+    numbers meet by key and never the words; rows of a key add up before the shuffle.
     """
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = df.select(key, F.explode_outer(words).alias("_w"))
-    slot = (F.conv(F.substring(F.md5("_w"), 1, 8), 16, 10).cast("long") % size).cast("int")
-    counts = rows.groupBy(key, slot.alias("_slot")).agg(F.count("_w").alias("_n"))
-    maps = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct("_slot", "_n")))).alias("_m")
-    )
-    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("float"))
-    return maps.select(key, filled.alias(out))
+    slots = [f"_s{i}" for i in range(size)]
+    schema = T.StructType([df.schema[key], *[T.StructField(s, T.IntegerType()) for s in slots]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_w")
+            coded = lists.flatten().dictionary_encode()
+            slot = np.array([int.from_bytes(hashlib.md5(w).digest()[:4]) % size for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            place = row * size + slot[coded.indices.to_numpy(zero_copy_only=False)]
+            counts = np.bincount(place, minlength=len(lists) * size).astype(np.int32).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, np.ascontiguousarray(counts.T))], names=[key, *slots])
+
+    counted = df.select(key, words.alias("_w")).mapInArrow(run, schema)
+    sums = counted.groupBy(key).agg(*[F.sum(s).alias(s) for s in slots])
+    return sums.select(key, F.array(*[F.col(s).cast("float") for s in slots]).alias(out))
