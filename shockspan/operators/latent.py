@@ -135,7 +135,8 @@ def packed(weights: DataFrame) -> tuple[DataFrame, int]:
     different words there are is told by a 64th of their hashes, for the number of blocks only.
     """
     words = weights.filter(F.pmod(F.xxhash64("word"), F.lit(64)) == 0).select("word").distinct().count() * 64
-    n = max(weights.sparkSession.sparkContext.defaultParallelism, -(-weights.count() // WEIGHTS), -(-words // WORDS))
+    cores = weights.sparkSession.sparkContext.defaultParallelism
+    n = -(-max(1, -(-weights.count() // WEIGHTS), -(-words // WORDS)) // cores) * cores  # whole turns of all cores
     weights = weights.dropna(subset=["key", "word"])
     schema = T.StructType([
         T.StructField("block", T.IntegerType()), T.StructField("size", T.IntegerType()), weights.schema["key"],
