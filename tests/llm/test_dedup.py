@@ -152,6 +152,19 @@ def test_repeated_strings_of_nulls_and_repeated_rows(spark):
     )
 
 
+@pytest.mark.parametrize("crowd", [16384, 0])
+@pytest.mark.parametrize(("size", "gone"), [(321, 0), (399, 0), (400, 400), (401, 401)])
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, size, gone, crowd):
+    rng = random.Random(size)
+    letters = size - 50
+    passage = " ".join("".join(rng.choices("abcde", k=letters // 51 + (i < letters % 51))) for i in range(51))
+    texts = [f"é{edge}{passage}{edge}z" for edge in "\n\t "] + ["".join(rng.choices("vwxyz ", k=900))]
+    df = spark.createDataFrame(list(enumerate(texts)), EMPTY)
+    out = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffix.without_repeats(df, crowd=crowd).collect()}
+    held = {(i, size + 5, gone, int(gone > 0), t.replace(passage, "") if gone else t) for i, t in enumerate(texts[:3])}
+    assert out == held | {(3, 900, 0, 0, texts[3])}
+
+
 @pytest.mark.parametrize("run", [line_dedup.dedup_lines, simhash.components, simhash.one_of_each, suffix.without_repeats])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], EMPTY)).count() == 0
