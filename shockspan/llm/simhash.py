@@ -128,7 +128,8 @@ def _anchored(most: int):
 def near_links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """a, b: links between distinct fingerprints that hold all of their components together.
 
-    ``classes``: distinct fingerprints fp.
+    ``classes``: distinct fingerprints fp. Spark takes the replicas for as few as the
+    fingerprints they are made of and would broadcast them, so their join is a merge.
     """
     prints = classes.select("fp")
     home = prints.mapInArrow(trimmed(_anchored(0)), "fp long, anchor long")
@@ -136,7 +137,7 @@ def near_links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = stored(home.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor"), "crowded")
     quiet = home.join(crowded, "anchor", "left_anti").select("anchor", F.col("fp").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= DISTANCE
-    links = quiet.join(reached, "anchor").filter(near & (F.col("a") != F.col("fp"))).select("a", F.col("fp").alias("b"))
+    links = quiet.join(reached.hint("merge"), "anchor").filter(near & (F.col("a") != F.col("fp"))).select("a", F.col("fp").alias("b"))
     members = reached.join(crowded, "anchor", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     words = stored(members.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("word")), "words")
