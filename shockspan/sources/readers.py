@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +15,7 @@ from pyspark.sql import types as T
 
 from shockspan.functions.columns import strip, type_key
 from shockspan.operators.impact import county_key
+from shockspan.session import stored
 from shockspan.sources.arrays import read_json_array
 
 DECLARATION_COLUMNS = [
@@ -100,10 +107,102 @@ def read_forecasts(spark: SparkSession, path: str, one_object: bool = False) ->
     return forecast_rows(spark.read.text(path, wholetext=one_object))
 
 
+#: Files that a task reads, about, and bytes of texts that it hands on at a time.
+FILES_PER_TASK, BYTES_AT_ONCE = 4096, 8 << 20
+
+
+def hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def escaped(name: str) -> str:
+    """The name as Spark gives it in ``_metadata.file_name``: what may not stand in an address as % and its bytes."""
+    return "".join(c if _stays(c) else "".join(f"%{b:02X}" for b in c.encode()) for c in name)
+
+
+def _stays(c: str) -> bool:
+    return c.isalnum() or c in "_-!.~'()*,;:$&+=@" if c.isascii() else unicodedata.category(c)[0] != "Z" and unicodedata.category(c) != "Cc"
+
+
+def _folder(spark: SparkSession, path: str) -> str | None:
+    """The folder as an address that tasks can list themselves; None where only Spark can."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    address = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toUri().toString()
+    try:
+        fs, root = FileSystem.from_uri(address)
+        return address if fs.get_file_info(root).type == FileType.Directory else None
+    except (pa.ArrowInvalid, OSError):
+        return None
+
+
+def _listed(address: str):
+    """What stands in every folder: its files, and the folders of the form key=value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = FileSystem.from_uri(address)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = [f for f in fs.get_file_info(FileSelector(path)) if not hidden(f.base_name) and (f.is_file or "=" in f.base_name)]
+                columns = [[f.path for f in found], [f.base_name for f in found], [not f.is_file for f in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)], names=["path", "name", "folder"])
+
+    return run
+
+
+def _contents(address: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = FileSystem.from_uri(address)
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["name", "value"])
+
+        for batch in batches:
+            names, texts, held = [], [], 0
+            for path, name in zip(batch.column("path").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                with fs.open_input_stream(path) as f:
+                    text = f.read()
+                if texts and held + len(text) > BYTES_AT_ONCE:
+                    yield made()
+                    names, texts, held = [], [], 0
+                names.append(escaped(name))
+                texts.append(text)
+                held += len(text)
+            yield made()
+
+    return run
+
+
+def files_of(spark: SparkSession, address: str, glob: str) -> DataFrame:
+    """path and name of every file whose name fits ``glob``; a job per depth of folders, nothing is listed by the driver."""
+    level, parts, found = spark.createDataFrame([(FileSystem.from_uri(address)[1],)], "path string"), 1, []
+    while parts:
+        listed = stored(level.repartition(min(parts, FILES_PER_TASK)).mapInArrow(_listed(address), "path string, name string, folder boolean"), "listed")
+        found.append(listed.filter("NOT folder").select("path", "name"))
+        level = listed.filter("folder").select("path")
+        parts = level.count()
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(glob).pattern()  # as pathGlobFilter reads it
+    return reduce(DataFrame.union, found).filter(F.col("name").rlike(rf"(?s)\A(?:{pattern})\z"))
+
+
 def read_documents(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """Whole text files with their names; empty ones are skipped."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_name").alias("name"), strip(F.col("value")).alias("text"))
+    """Whole text files with their names; empty ones are skipped.
+
+    Files are many and small, so tasks list the folders and read the files: Spark's reader
+    would hold every file's status and place in the driver. It reads what is no folder
+    (patterns, single files) and file systems that only Spark knows.
+    """
+    address = _folder(spark, path)
+    if address is None:
+        files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    else:
+        files = files_of(spark, address, glob)
+        n = files.count()
+        parts = max(-(-n // FILES_PER_TASK), min(n, spark.sparkContext.defaultParallelism), 1)
+        files = files.repartition(parts).mapInArrow(_contents(address), T.StructType([T.StructField("name", T.StringType(), False), T.StructField("value", T.BinaryType())])).withColumn("value", F.col("value").cast("string"))
+    rows = files.select("name", strip(F.col("value")).alias("text"))
     return rows.filter(F.length("text") > 0)
 
 
