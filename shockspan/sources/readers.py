@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from shockspan.functions.columns import strip, type_key
 from shockspan.operators.impact import county_key
-from shockspan.session import stored
+from shockspan.session import folder_address, stored
 from shockspan.sources.arrays import read_json_array
 
 DECLARATION_COLUMNS = [
@@ -127,17 +127,6 @@ def _stays(c: str) -> bool:
     return c.isalnum() or c in "_-!.~'()*,;:$&+=@" if c.isascii() else unicodedata.category(c)[0] != "Z" and unicodedata.category(c) != "Cc"
 
 
-def _folder(spark: SparkSession, path: str) -> str | None:
-    """The folder as an address that tasks can list themselves; None where only Spark can."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    address = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toUri().toString()
-    try:
-        fs, root = FileSystem.from_uri(address)
-        return address if fs.get_file_info(root).type == FileType.Directory else None
-    except (pa.ArrowInvalid, OSError):
-        return None
-
-
 def _listed(address: str):
     """What stands in every folder: its files, and the folders of the form key=value."""
 
@@ -194,7 +183,7 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.md") -> DataFr
     would hold every file's status and place in the driver. It reads what is no folder
     (patterns, single files) and file systems that only Spark knows.
     """
-    address = _folder(spark, path)
+    address = folder_address(spark, path)
     if address is None:
         files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     else:
