@@ -4,10 +4,11 @@ Centres of cells are fitted by k-means over unit vectors on a bounded sample; ev
 of the table is in the index, in the cell of its nearest centre. A question looks into
 its ``probes`` nearest cells only and compares itself exactly with what passes its
 filter there. Rows of a cell are dealt into shares of about ``SHARE`` rows, so a cell
-with a third of all rows is many groups of bounded size; questions of a cell come in
-lots of about ``LOT``. Rows are copied once per lot that asks for their cell, questions
-once per share they probe, so no side meets the whole of the other. The driver holds the
-centres, cells times dimensions numbers.
+with a third of all rows is many files of bounded size; questions with the same nearest
+cell come in lots of about ``LOT``. Rows are written once, a file per share; a lot's task
+reads the shares of the cells it probes one by one, so vectors are copied for no cell and
+no task holds more than a lot and a share. The driver holds the centres, cells times
+dimensions numbers.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from shockspan.operators.retrieval import compare, topk_cosine
-from shockspan.session import stored
+from shockspan.operators.retrieval import best_of, compare, read_file, topk_cosine
+from shockspan.session import folder_address, scratch_path, shared_folder, shuffles_go, stored
 
 #: Vectors that the centres are fitted on, at most, about; every row is indexed.
 SAMPLE = 100_000
@@ -94,7 +97,7 @@ def built(chunks: DataFrame, cells: int | None = None, vector: str = "embedding"
     shares = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     shares = stored(shares, "shares")
     dealt = placed.join(shares, "cell").withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).drop("shares")
-    return Index(stored(dealt, "index"), shares, centres, vector)
+    return Index(dealt, shares, centres, vector)
 
 
 def probes_for(index: Index, queries: DataFrame, k: int = 6, target: float = 0.95, sample: int = 256) -> int:
@@ -119,15 +122,40 @@ def probes_for(index: Index, queries: DataFrame, k: int = 6, target: float = 0.9
     return 1
 
 
-def search(index: Index, queries: DataFrame, k: int = 6, probes: int = 8) -> DataFrame:
-    """query_id, id, similarity, rank: the k best chunks in the probed cells under each query's filter."""
-    asked = queries.select("query_id", "state", "event_type", index.vector).filter(F.col(index.vector).isNotNull())
-    types = {f.name: f.dataType.simpleString() for f in (*index.rows.schema, *asked.schema)}
-    schema = f"query_id {types['query_id']}, id {types['id']}, sim double"
-    if not len(index.centres):
-        return queries.sparkSession.createDataFrame([], schema.replace("sim", "similarity") + ", rank int")
-    asked = nearest_cells(asked, index.vector, index.centres, probes, "_cells").withColumn("cell", F.explode("_cells")).drop("_cells")
-    asked = stored(asked, "probes")
+def _probed(index: Index, asked: DataFrame, k: int, schema: str) -> DataFrame:
+    """Questions of a nearest cell, in lots, read the files of the cells they probe; no vector is copied per cell."""
+    spark = asked.sparkSession
+    path = scratch_path(spark, "cells")
+    with shuffles_go(spark):
+        index.rows.repartition("cell", "share").write.partitionBy("cell", "share").parquet(path)
+    address = folder_address(spark, path)
+    asked = asked.withColumn("home", F.try_element_at("_cells", F.lit(1)))
+    lots = stored(asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots")), "lots")
+    dealt = asked.join(lots, "home").withColumn("lot", F.pmod(F.xxhash64("query_id"), "lots").cast("int")).drop("lots")
+    met = compare(index.vector, k)
+
+    def run(own: pa.Table) -> pa.Table:
+        fs, root = FileSystem.from_uri(address)
+        cells = own.column("_cells").combine_chunks()
+        row, cell = cells.value_parent_indices().to_numpy(zero_copy_only=False), cells.flatten().to_numpy(zero_copy_only=False)
+        best = None
+        for c in np.unique(cell).tolist():
+            mine = own.take(pa.array(row[cell == c]))
+            for part in fs.get_file_info(FileSelector(f"{root}/cell={c}", allow_not_found=True, recursive=True)):
+                if part.base_name.endswith(".parquet"):
+                    found = met(mine, read_file(fs, part.path))
+                    best = best_of(found if best is None else pa.concat_tables([best, found]), k)
+        if best is None:
+            best = pa.table({"query_id": own.column("query_id").slice(0, 0), "id": pa.array([], id_type), "sim": pa.array([], pa.float64())})
+        return best
+
+    id_type = to_arrow_type(index.rows.schema["id"].dataType)
+    return dealt.groupBy("home", "lot").applyInArrow(run, schema)
+
+
+def _copied(index: Index, asked: DataFrame, k: int, schema: str) -> DataFrame:
+    """The same where tasks can't read the shared folder: questions go to each share that they probe."""
+    asked = asked.withColumn("cell", F.explode("_cells")).drop("_cells")
     lots = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
     lots = stored(lots, "lots")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -135,7 +163,18 @@ def search(index: Index, queries: DataFrame, k: int = 6, probes: int = 8) -> Dat
     left = left.withColumn("share", every("shares")).drop("lots", "shares")
     right = index.rows.join(lots, "cell").withColumn("lot", every("lots")).drop("lots")
     key = ["cell", "share", "lot"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare(index.vector, k), schema)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare(index.vector, k), schema)
+
+
+def search(index: Index, queries: DataFrame, k: int = 6, probes: int = 8) -> DataFrame:
+    """query_id, id, similarity, rank: the k best chunks in the probed cells under each query's filter."""
+    asked = queries.select("query_id", "state", "event_type", index.vector).filter(F.col(index.vector).isNotNull())
+    types = {f.name: f.dataType.simpleString() for f in (*index.rows.schema, *asked.schema)}
+    schema = f"query_id {types['query_id']}, id {types['id']}, sim double"
+    if not len(index.centres):
+        return queries.sparkSession.createDataFrame([], schema.replace("sim", "similarity") + ", rank int")
+    asked = stored(nearest_cells(asked, index.vector, index.centres, probes, "_cells"), "probes")  # vectors once, not once per cell
+    found = _probed(index, asked, k, schema) if folder_address(queries.sparkSession, shared_folder(queries.sparkSession)) else _copied(index, asked, k, schema)
     order = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "id", F.round("sim", 4).alias("similarity"), "rank")
